@@ -1,4 +1,6 @@
 """All registered queries outside the subpackage for training data, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from ledgerlight import loads
+
+QUERIES: dict = {**loads.QUERIES}
+SQL: dict = {**loads.SQL}
