@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import distinct, frequent, tokens
+from ledgerlight.llm import distinct, frequent, leaks, tokens
 from ledgerlight.sources.tables import table
 
 
@@ -25,7 +25,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "text", ("doc_id",))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "eval_items").filter(F.col("split_name").isin("test", "validation"))
+    return leaks.leaked(table(spark, folder, "documents"), items).select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 SQL: dict[str, str] = {
     "p2_found": """
