@@ -5,10 +5,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import distinct, frequent, leaks, tokens
+from ledgerlight.llm import distinct, frequent, garbled, leaks, tokens
 from ledgerlight.sources.tables import table
 
 
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    """src, row_id, pos, text of all texts that may have been decoded wrongly."""
+    samples = table(spark, folder, "column_profiles").select("profile_id", F.posexplode("samples").alias("pos", "text"))
+    parts = [(F.lit("column_profiles"), "profile_id", "pos", "text", samples), (F.lit("raw_records"), "record_id", None, "raw_line", table(spark, folder, "raw_records")), (F.lit("documents"), "doc_id", None, "text", table(spark, folder, "documents"))]
+    out = [df.select(src.alias("src"), F.col(key).alias("row_id"), (F.col(pos) if pos else F.lit(0)).cast("long").alias("pos"), F.col(text).alias("text")) for src, key, pos, text, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.restored(_entries(spark, folder)).select("src", "row_id", "pos")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "retail_lines")
     rollups = distinct.wrong_rollups(lines, table(spark, folder, "rollup_profiles"))
@@ -30,7 +42,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), items).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 SQL: dict[str, str] = {
     "p2_found": """
