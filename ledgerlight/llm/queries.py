@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import distinct, frequent, garbled, leaks, tokens
+from ledgerlight.llm import distinct, frequent, garbled, leaks, tokens, toxic
 from ledgerlight.sources.tables import table
 
 
@@ -42,7 +42,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), items).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxic.scored(documents, toxic.fit(toxic.labelled(documents, table(spark, folder, "doc_labels"))))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.kinds(_scores(spark, folder)).distinct()
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.rates(_scores(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 SQL: dict[str, str] = {
     "p2_found": """
