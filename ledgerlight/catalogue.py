@@ -1,6 +1,6 @@
 """All registered queries outside the subpackage for training data, and their SQL."""
 
-from ledgerlight import loads
+from ledgerlight import loads, sales
 
-QUERIES: dict = {**loads.QUERIES}
-SQL: dict = {**loads.SQL}
+QUERIES: dict = {**sales.QUERIES, **loads.QUERIES}
+SQL: dict = {**sales.SQL, **loads.SQL}
