@@ -8,6 +8,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    many = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    return reader.parquet(f"{folder}/{name}.parquet") if many else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
