@@ -101,7 +101,7 @@ def returns(df: DataFrame, quantity: str | None, key: str | None, flags: list[st
         if (share := r[f"f{k}"]) is not None and share >= HOLDS:
             return Returns("explicit_flag", f, ["1"], share)
     columns = list(dict.fromkeys([*dimensions, *flags]))
-    found = negative_share(df, quantity, columns, key).filter((F.col("n") >= SUPPORT) & (F.col("negative") >= SIGN * F.col("n"))).collect()
+    found = [] if not columns and not key else negative_share(df, quantity, columns, key).filter((F.col("n") >= SUPPORT) & (F.col("negative") >= SIGN * F.col("n"))).collect()
     for c in columns:
         if mine := sorted((x for x in found if x.column_name == c), key=lambda x: x.value):
             return Returns("explicit_category", c, [x.value for x in mine], min(x.negative / x.n for x in mine))

@@ -49,16 +49,23 @@ def sniff(head: bytes, whole: bool) -> Dialect:
     text = head.decode(encoding, "ignore")
     if not text.strip():
         raise DialectError("the file is empty")
+    quote, wanted = '"', None
     try:
         found = csv.Sniffer().sniff(text, DELIMITERS)
-        delimiter, quote = found.delimiter, found.quotechar or '"'
+        wanted, quote = found.delimiter, found.quotechar or '"'
     except csv.Error:
-        # one column, or quoting that the sniffer can't make sense of: the delimiter that splits the rows most evenly
-        counts = {d: [len(r) for r in _rows(text, d, '"', whole)] for d in DELIMITERS}
-        even = {d: n[0] for d, n in counts.items() if n and min(n) == max(n) and n[0] > 1}
-        if not even:
-            raise DialectError("no delimiter splits the rows evenly") from None
-        delimiter, quote = max(even, key=lambda d: even[d]), '"'
+        pass
+    # the sniffer can be misled (decimal commas) or find nothing: delimiters that split all rows evenly come first
+    widths = {d: [len(r) for r in _rows(text, d, quote, whole)] for d in DELIMITERS}
+    even = {d: n[0] for d, n in widths.items() if n and min(n) == max(n) and n[0] > 1}
+    if even:
+        delimiter = wanted if wanted in even else max(even, key=lambda d: even[d])
+    elif wanted:
+        delimiter = wanted
+    elif all(max(n, default=1) == 1 for n in widths.values()):
+        delimiter = ","  # one column
+    else:
+        raise DialectError("no delimiter splits the rows evenly")
     rows = _rows(text, delimiter, quote, whole)
     width = len(rows[0])
     for k, r in enumerate(rows):
