@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
 
 #: Bytes that are looked at, and the delimiters there are.
@@ -43,6 +44,16 @@ def _rows(text: str, delimiter: str, quote: str, whole: bool) -> list[list[str]]
     return [r for r in (rows if whole else rows[:-1] or rows) if r]
 
 
+def _typed(value: str) -> bool:
+    """Whether a value reads as a number, a date or a time."""
+    return re.fullmatch(r"[+-]?[\d.,]*\d[\d.,]*(?:[eE][+-]?\d+)?%?|\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ T][\d:.]+)?", value.strip()) is not None
+
+
+def _header(rows: list[list[str]]) -> bool:
+    """Whether the first row names the columns: no value of it is typed. Where that can't be told, it does."""
+    return not any(_typed(x) for x in rows[0])
+
+
 def sniff(head: bytes, whole: bool) -> Dialect:
     """The dialect of a file from its head; `whole` if that is all of it. Rows of the head must be of one width."""
     encoding = encoding_of(head)
@@ -71,12 +82,7 @@ def sniff(head: bytes, whole: bool) -> Dialect:
     for k, r in enumerate(rows):
         if len(r) != width:
             raise DialectError(f"row {k + 1} has {len(r)} fields, the first {width}")
-    try:
-        header = csv.Sniffer().has_header(text)
-    except csv.Error:
-        header = True
-    if len(rows) == 1:
-        header = not any(x.strip().lstrip("+-").replace(".", "", 1).isdigit() for x in rows[0])
+    header = _header(rows)
     names = [x.strip() or f"column{k}" for k, x in enumerate(rows[0])] if header else [f"column{k}" for k in range(width)]
     seen: dict[str, int] = {}
     for k, n in enumerate(names):
