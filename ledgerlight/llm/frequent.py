@@ -45,6 +45,8 @@ def _partial(width: int):
                 weight = part["weight"].to_numpy()
                 s[0] += int(weight.sum())
                 part, weight = part[weight > 0], weight[weight > 0]
+                if not len(part):
+                    continue
                 code, values = pd.factorize(part["value"])
                 count = np.bincount(code, weight, len(values)).astype(np.int64) if weight.sum() < 2**53 else pd.Series(weight).groupby(code).sum().to_numpy()
                 first = np.empty(len(values), np.int64)
@@ -54,9 +56,9 @@ def _partial(width: int):
                     order = np.lexsort((count, at))
                     cell, starts = np.unique(at[order], return_index=True)
                     best = order[np.append(starts[1:], len(order)) - 1]
-                    total = np.add.reduceat(count[order], starts) if len(order) else count
+                    total = np.add.reduceat(count[order], starts)
                     surplus = np.maximum(2 * count[best] - total, 0)
-                    mine, votes = values.to_numpy(object)[best] if hasattr(values, "to_numpy") else np.asarray(values, object)[best], s[2][cell]
+                    mine, votes = np.asarray(values, object)[best], s[2][cell]
                     same = s[3][cell] == mine
                     s[3][cell] = np.where(same | (votes >= surplus), s[3][cell], mine)
                     s[2][cell] = np.where(same, votes + surplus, np.abs(votes - surplus))
