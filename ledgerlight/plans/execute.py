@@ -94,6 +94,29 @@ def predicates(df: DataFrame, model: Model, plan: BoundPlan) -> list[tuple[str,
     return out + window(df, model, plan)
 
 
+def needed(model: Model, plan: BoundPlan) -> set[str]:
+    """The columns that a plan reads: a view need not join what none of them comes from."""
+    q = plan.query
+    out = {*plan.group_by, *(f.column for f in q.filters), *(f.column for f in q.numeric_filters), *(a.column for a in q.aggregations if a.column)}
+    for name in q.measures:
+        out |= set(model.measure(name).columns)
+    if q.frequency:
+        out |= {q.frequency.entity, q.frequency.count_of}
+    if q.distinct_count_of:
+        out.add(q.distinct_count_of)
+    if q.time or q.period_comparison:
+        out.add(model.first("event_time"))
+    if q.basket:
+        out |= {model.first("transaction_key"), model.entity("product")}
+    if model.partition and (q.basket or plan.partition_values is not None or set(q.measures) & set(REVENUE)):
+        out.add(model.partition.column)
+    if model.returns.column and (q.basket or "gross_revenue" in q.measures):
+        out.add(model.returns.column)
+    if plan.complete_only:
+        out.add(model.completeness.flag)
+    return out
+
+
 def scoped(df: DataFrame, found: list[tuple[str, Column]]) -> DataFrame:
     for _, p in found:
         df = df.filter(p)
