@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,20 +100,24 @@ def dependencies(df: DataFrame, determinants: list[str], dependents: list[str])
     """determinant, dependent, strength, support for each pair of columns.
 
     Over the determinant's values that more than one row has (support, null left out), the share with
-    one value of the dependent at most, nulls not counted. A group has one value if the least and the
-    greatest of its values' 64-bit hashes are equal, so no distinct values are kept or expanded.
+    one value of the dependent at most, nulls not counted; null where support is 0. Values are compared by 64-bit
+    hashes: a group has one value of a dependent if its least and greatest hash are equal. So all pairs come from
+    one scan and one aggregate of constant state per group, without distinct values being kept or expanded.
     """
-    out = []
-    for d in determinants:
-        others = [c for c in dependents if c != d]
-        hashed = df.filter(quoted(d).isNotNull()).select(quoted(d).alias("__d"), *[F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))).alias(f"c{k}") for k, c in enumerate(others)])
-        groups = hashed.groupBy("__d").agg(F.count(F.lit(1)).alias("__n"), *[x for k in range(len(others)) for x in (F.min(f"c{k}").alias(f"l{k}"), F.max(f"c{k}").alias(f"h{k}"))]).filter("__n > 1")
-        whole = groups.agg(F.count(F.lit(1)).alias("support"), *[F.count_if(F.coalesce(F.col(f"l{k}") == F.col(f"h{k}"), F.lit(True))).alias(f"s{k}") for k in range(len(others))])
-        rows = F.array(*[F.struct(F.lit(d).alias("determinant"), F.lit(c).alias("dependent"), (F.col(f"s{k}") / F.nullif("support", F.lit(0))).alias("strength"), F.col("support")) for k, c in enumerate(others)])
-        out.append(whole.select(F.inline(rows)))
-    if not out:
-        return df.sparkSession.createDataFrame([], "determinant string, dependent string, strength double, support long")
-    return reduce(DataFrame.unionByName, out)
+    spark = df.sparkSession
+    if not determinants:
+        return spark.createDataFrame([], "determinant string, dependent string, strength double, support long")
+    hashes = {c: F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))) for c in {*determinants, *dependents}}
+    # hashed once, and not again for each determinant
+    hashed = df.select(*[hashes[c].alias(f"d{k}") for k, c in enumerate(determinants)], *[hashes[c].alias(f"c{k}") for k, c in enumerate(dependents)])
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"d{k}").alias("h")) for k in range(len(determinants))]))
+    rows = hashed.select(each, *[F.col(f"c{k}") for k in range(len(dependents))]).filter("h is not null")
+    groups = rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"), *[x for k in range(len(dependents)) for x in (F.min(f"c{k}").alias(f"l{k}"), F.max(f"c{k}").alias(f"h{k}"))]).filter("n > 1")
+    whole = groups.groupBy("k").agg(F.count(F.lit(1)).alias("support"), *[F.count_if(F.coalesce(F.col(f"l{k}") == F.col(f"h{k}"), F.lit(True))).alias(f"s{k}") for k in range(len(dependents))])
+    names = F.broadcast(spark.createDataFrame(list(enumerate(determinants)), "k int, determinant string"))
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("dependent"), F.col(f"s{k}").alias("single")) for k, c in enumerate(dependents)]))
+    out = names.join(whole, "k", "left").select("determinant", F.coalesce("support", F.lit(0)).alias("support"), pairs).filter("determinant <> dependent")
+    return out.select("determinant", "dependent", (F.col("single") / F.nullif("support", F.lit(0))).alias("strength"), "support")
 
 
 def candidates(columns: dict[str, ColumnProfile]) -> list[str]:
