@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +153,3 @@ def completeness(profile: Profile, flags: list[str], time_columns: list[str]) ->
                 return Completeness(f, p)
     return None
 
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -6,13 +6,18 @@ import dataclasses
 import hashlib
 import json
 import tempfile
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
+from typing import Any
 
 from ledgerlight.plans.execute import ask
+from ledgerlight.plans.interpret import interpret
+from ledgerlight.plans.propose import Missing
 from ledgerlight.plans.query import Query, merge
 from ledgerlight.plans.verdict import Verdict
 from ledgerlight.service.jobs import Jobs, redacted
+from ledgerlight.sources import samples
 from ledgerlight.sources.files import load
 from ledgerlight.sources.store import Store
 
@@ -20,8 +25,9 @@ from ledgerlight.sources.store import Store
 UPLOAD = 500 * 1024 * 1024
 
 
-def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str | None = None) -> ThreadingHTTPServer:
-    """A server that isn't started yet. Uploads go to a folder that all executors can read."""
+def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str | None = None, provider: Callable[[dict], Any] | None = None) -> ThreadingHTTPServer:
+    """A server that isn't started yet. Uploads go to a folder that all executors can read. With a provider,
+    queries may be questions in words, and it proposes the roles of columns."""
     jobs, folder = Jobs(), Path(uploads or tempfile.mkdtemp(prefix="uploads-"))
 
     class Handler(BaseHTTPRequestHandler):
@@ -45,6 +51,15 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
                 self._send(200, {"status": "ok"})
             elif parts == ["datasets"]:
                 self._send(200, store.ids())
+            elif parts == ["samples"]:
+                self._send(200, samples.names())
+            elif parts[0] == "samples" and parts[2:] == ["download"] and parts[1] in samples.names():
+                data = samples.content(parts[1])
+                self.send_response(200)
+                self.send_header("Content-Type", "text/csv; charset=utf-8")
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
             elif parts[0] == "datasets" and len(parts) == 2 and parts[1] in store.ids():
                 self._send(200, json.loads(store.get(parts[1]).model.to_json()))
             elif parts[0] == "jobs" and len(parts) > 1 and parts[1] in jobs.jobs:
@@ -71,6 +86,10 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
             if size > UPLOAD:
                 return self._fail(413, "too_large", f"Uploads end at {UPLOAD} bytes")
             body = self.rfile.read(size)
+            if parts[0] == "samples" and len(parts) == 2:
+                if parts[1] not in samples.names():
+                    return self._fail(404, "not_found", "There is no such sample")
+                parts, body = ["datasets"], samples.content(parts[1])
             if parts == ["datasets"]:
                 if not body:
                     return self._fail(400, "empty", "The upload is empty")
@@ -81,7 +100,7 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
 
                 def ingest(tell) -> dict:
                     tell("reading")
-                    return {"dataset": name, "rows": store.put(name, load(store.spark, str(at)), at=tell).model.row_count}
+                    return {"dataset": name, "rows": store.put(name, load(store.spark, str(at)), provider=provider, at=tell).model.row_count}
 
                 return self._send(202, jobs.submit(name, ingest, key).view())
             if parts[0] == "jobs" and parts[2:] == ["cancel"] and parts[1] in jobs.jobs:
@@ -90,14 +109,21 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
             if parts[0] == "datasets" and parts[2:] == ["query"] and parts[1] in store.ids():
                 try:
                     raw = json.loads(body)
-                    before = raw.pop("previous_job_id", None)
+                    before, old = raw.pop("previous_job_id", None), None
                     if before is not None:
-                        old = jobs.jobs.get(before)
-                        if old is None or old.state != "done" or old.dataset != parts[1]:
+                        job = jobs.jobs.get(before)
+                        if job is None or job.state != "done" or job.dataset != parts[1] or "query" not in (job.result or {}):
                             return self._fail(409, "no_such_query", "The earlier query can't be followed up")
-                        query = merge(Query.of(old.result["query"]), raw)
+                        old = Query.of(job.result["query"])
+                    question = raw.pop("question", None)
+                    if question is not None and provider is None:
+                        return self._fail(400, "no_provider", "Questions in words need a provider")
+                    if question is not None:
+                        query = interpret(question, store.get(parts[1]).model, provider, old)
                     else:
-                        query = Query.of(raw)
+                        query = merge(old, raw) if old else Query.of(raw)
+                except Missing:
+                    return self._fail(400, "no_answer", "The provider has no answer to this question")
                 except (TypeError, ValueError, KeyError) as e:
                     return self._fail(400, "bad_query", str(e))
 

@@ -105,7 +105,12 @@ def test_jobs():
 
 
 def test_http(spark, tmp_path):
-    server = serve(Store(spark, f"file://{tmp_path}/store"), port=0, uploads=str(tmp_path))
+    def provider(request):
+        if request["task"] == "roles":
+            return []
+        return {"aggregations": [{"func": "count"}]} if request["task"] == "query" else {"notes": ["x"], "aggregations": [{"func": "avg", "column": "units"}]}
+
+    server = serve(Store(spark, f"file://{tmp_path}/store"), port=0, uploads=str(tmp_path), provider=provider)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}"
 
@@ -132,8 +137,27 @@ def test_http(spark, tmp_path):
     assert json.loads(call("/datasets")[1]) == [name]
     asked = finished(call(f"/datasets/{name}/query", json.dumps({"aggregations": [{"func": "count"}]}).encode())[1])
     assert asked["result"]["answer"]["rows"] == [{"row_count": 60}]
-    more = finished(call(f"/datasets/{name}/query", json.dumps({"group_by": ["item"], "previous_job_id": asked["id"]}).encode())[1])
-    assert len(more["result"]["answer"]["rows"]) == 5
+    again = finished(call(f"/datasets/{name}/query", json.dumps({"question": "how many?"}).encode())[1])
+    more = finished(call(f"/datasets/{name}/query", json.dumps({"question": "and on average?", "previous_job_id": again["id"]}).encode())[1])
+    assert again["result"]["answer"]["rows"] == [{"row_count": 60}] and more["result"]["answer"]["rows"] == [{"avg_units": 3.5}]
+    assert json.loads(call("/samples")[1]) == ["catering", "sensors", "storefront"] and call("/samples/nope", b"")[0] == 404
+    assert finished(call("/samples/sensors", b"")[1])["result"]["rows"] == 240 and call("/samples/sensors/download")[1].startswith(b"station,")
     assert call(f"/datasets/{name}/query", json.dumps({"previous_job_id": "x"}).encode())[0] == 409 and call(f"/datasets/{name}/query", b'{"colour": 1}')[0] == 400
     assert b"done" in call(f"/jobs/{job['id']}/stream")[1]
     server.shutdown()
+
+
+def test_samples(spark, tmp_path):
+    from ledgerlight.plans.build import build
+    from ledgerlight.sources import samples
+
+    df = files.load(spark, write(tmp_path, samples.content("catering")))
+    assert df.count() == 202 and samples.content("catering") == samples.content("catering")
+    model = build(df)
+    assert model.in_role("event_time") == [] or model.first("event_time") != "event_date"
+    from ledgerlight.plans.model import Claim
+
+    claims = [Claim("event_date", "event_time"), Claim("guests", "additive_quantity"), Claim("price_per_guest", "monetary_rate"), Claim("order_total", "monetary_amount"), Claim("order_ref", "transaction_key")]
+    model = build(df, claims=claims)
+    assert model.parsers == {"event_date": "day_first"} and model.binding("order_total").status == "verified"
+    assert model.binding("order_ref").status == "refuted"  # no reference comes twice
