@@ -37,10 +37,12 @@ def counted(df: DataFrame, keys: list[str], columns: list[str], sign: int = 1) -
     out = {}
     for kind, storage in KINDS.items():
         mine = [c for c in columns if kinds[c] == kind]
-        pairs = [F.struct(F.lit(c).alias("column_name"), (F.to_json(F.struct(f"`{c}`")) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{c}`").cast(storage)).alias("value")) for c in mine]
+        pairs = [F.struct(F.lit(k).alias("number"), (F.to_json(F.struct(f"`{c}`")) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{c}`").cast(storage)).alias("value")) for k, c in enumerate(mine)]
         if mine:
-            lines = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(F.array(*pairs)).alias("x")).select(*[F.col(f"`{k}`") for k in keys], "x.column_name", "x.value")
-            out[kind] = lines.groupBy(*keys, "column_name", "value").agg((sign * F.count(F.lit(1))).alias("n"))
+            # columns go through the shuffle by number
+            lines = df.select(*[F.col(f"`{k}`") for k in keys], F.inline(F.array(*pairs)))
+            counts = lines.groupBy(*keys, "number", "value").agg((sign * F.count(F.lit(1))).alias("n"))
+            out[kind] = counts.select(*[F.col(f"`{k}`") for k in keys], F.get(F.array(*[F.lit(c) for c in mine]), F.col("number")).alias("column_name"), "value", "n")
     return out
 
 
@@ -158,13 +160,8 @@ def _median_of_others(values: str, mine: str) -> Column:
 LIMITS = {"null_rate": 0.15, "negatives": 0.10, "shift": 3.0, "constant": 5, "pattern": 0.02}
 
 
-def departures(profiles: DataFrame, series: str, load: str, signs: list[str], shifts: list[str], constants: list[str], formats: dict[str, str], limits: dict[str, float] = LIMITS) -> DataFrame:
-    """Columns of a load that depart from the series' other loads or break their format: `load`, column_name, kind.
-
-    Each figure is compared with the exact median over the other loads of the series; the loads of a
-    series (a few dozen) are gathered as arrays of one number each. Loads without a non-null value in
-    the column are left out, but for the kind `null_rate`. A load without others isn't compared.
-    """
+def _departed(profiles: DataFrame, series: str, signs: list[str], shifts: list[str], constants: list[str], formats: dict[str, str], limits: dict[str, float]) -> tuple[Column, DataFrame]:
+    """(the kinds of departure of each row, the rows)."""
     name, full = F.col("column_name"), F.col("row_count") - F.col("null_count")
 
     def among(columns: list[str], value: Column) -> Column:
@@ -183,27 +180,46 @@ def departures(profiles: DataFrame, series: str, load: str, signs: list[str], sh
         "constant": (F.col("f_constant") == 1) & (F.col("o_constant") >= limits["constant"]),
         "pattern": name.isin(list(formats)) & (full > 0) & (F.col("violations") >= full * limits["pattern"]),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
-    return p.select(F.col(load), "column_name", F.explode(found).alias("kind"))
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()])), p
 
 
-def misstated(profiles: DataFrame, stated: DataFrame, load: str) -> DataFrame:
-    """Columns whose stated null_count, distinct_count, min_value, max_value or negatives isn't the true one: `load`, column_name.
+def departures(profiles: DataFrame, series: str, load: str, signs: list[str], shifts: list[str], constants: list[str], formats: dict[str, str], limits: dict[str, float] = LIMITS, stated: DataFrame | None = None) -> DataFrame:
+    """Columns of a load that depart from the series' other loads or break their format: `load`, column_name, kind.
 
-    Ranges are read as the column's type; text that can't be read so is false. Null equals null only.
-    Statements about loads or columns without lines aren't judged; of repeated statements any false one counts.
+    Each figure is compared with the exact median over the other loads of the series; the loads of a
+    series (a few dozen) are gathered as arrays of one number each. Loads without a non-null value in
+    the column are left out, but for the kind `null_rate`. A load without others isn't compared. With
+    `stated`, columns whose statement there is false come out as the kind `stated`, in the same pass.
     """
+    found, p = _departed(profiles, series, signs, shifts, constants, formats, limits)
+    if stated is not None:
+        p = _beside(p, stated, load, "left")
+        found = F.concat(found, F.when(F.col("__load").isNotNull() & ~_holds(), F.array(F.lit("stated"))).otherwise(F.array().cast("array<string>")))
+    out = p.select(F.col(load), "column_name", F.explode(found).alias("kind"))
+    return out if stated is None else out.distinct()
+
+
+def _beside(profiles: DataFrame, stated: DataFrame, load: str, how: str) -> DataFrame:
     s = stated.select(F.col(load).alias("__load"), F.col("column_name").alias("__column"), *[F.col(c).alias(f"s_{c}") for c in ("null_count", "distinct_count", "min_value", "max_value", "negatives")])
-    j = profiles.join(s, (F.col(load) == F.col("__load")) & (F.col("column_name") == F.col("__column")))
+    return profiles.join(s, (F.col(load) == F.col("__load")) & (F.col("column_name") == F.col("__column")), how)
 
-    def holds(end: str) -> Column:
-        text = F.col(f"s_{end}_value")
-        number = text.try_cast("double").eqNullSafe(F.col(f"{end}_number"))
-        moment = text.try_cast("timestamp_ntz").eqNullSafe(F.col(f"{end}_moment"))
-        plain = text.eqNullSafe(F.col(f"{end}_text"))
-        return F.when(F.col(f"{end}_number").isNotNull(), number).when(F.col(f"{end}_moment").isNotNull(), moment).otherwise(plain)
 
-    true = holds("min") & holds("max")
+def _holds() -> Column:
+    """Whether a statement is true of the profile beside it."""
+    true = F.lit(True)
+    for end in ("min", "max"):
+        text = F.col(f"s_{end}_value")
+        number, moment = text.try_cast("double").eqNullSafe(F.col(f"{end}_number")), text.try_cast("timestamp_ntz").eqNullSafe(F.col(f"{end}_moment"))
+        true &= F.when(F.col(f"{end}_number").isNotNull(), number).when(F.col(f"{end}_moment").isNotNull(), moment).otherwise(text.eqNullSafe(F.col(f"{end}_text")))
     for c in ("null_count", "distinct_count", "negatives"):
         true &= F.col(f"s_{c}").eqNullSafe(F.col(c))
-    return j.filter(~true).select(F.col(load), "column_name").distinct()
+    return true
+
+
+def misstated(profiles: DataFrame, stated: DataFrame, load: str) -> DataFrame:
+    """Columns whose stated null_count, distinct_count, min_value, max_value or negatives isn't the true one: `load`, column_name.
+
+    Ranges are read as the column's type; text that can't be read so is false. Null equals null only.
+    Statements about loads or columns without lines aren't judged; of repeated statements any false one counts.
+    """
+    return _beside(profiles, stated, load, "inner").filter(~_holds()).select(F.col(load), "column_name").distinct()
