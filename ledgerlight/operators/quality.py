@@ -67,9 +67,18 @@ class ValueCounts:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
     def _parts(self, kind: str) -> list[str]:
+        """Whole parts that no other whole part has taken in."""
         fs, path = self._fs()
         at = path(f"{self.folder}/{kind}")
-        return sorted(s.getPath().toString() for s in fs.listStatus(at) if fs.exists(path(s.getPath().toString() + "/_SUCCESS"))) if fs.exists(at) else []
+        found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        whole = [p for p in found if not p.getName().startswith(".") and fs.exists(path(f"{p.toString()}/_SUCCESS"))]
+        gone: set[str] = set()
+        for p in whole:
+            if fs.exists(path(f"{p.toString()}/_replaces")):
+                stream = fs.open(path(f"{p.toString()}/_replaces"))
+                gone |= set(bytes(stream.readAllBytes()).decode().split("\n"))
+                stream.close()
+        return sorted(p.toString() for p in whole if p.getName() not in gone)
 
     def add(self, df: DataFrame, columns: list[str], name: str, sign: int = 1) -> None:
         """Count lines as the delta `name`; the same name again replaces what it added, so a repeated job counts once."""
@@ -80,12 +89,25 @@ class ValueCounts:
         return applied({k: self.spark.read.parquet(*parts) for k in KINDS if (parts := self._parts(k))})
 
     def compact(self, name: str) -> None:
-        """One part instead of many; the old ones go only after the new one is whole."""
+        """One part instead of many. The new part says which ones it takes in, so readers count every delta once
+        whenever this breaks off; the names it took in can't be added again."""
         fs, path = self._fs()
-        for kind, whole in self.tables().items():
+        for kind in KINDS:
             old = self._parts(kind)
-            whole.write.mode("error").parquet(f"{self.folder}/{kind}/.{name}")
-            fs.rename(path(f"{self.folder}/{kind}/.{name}"), path(f"{self.folder}/{kind}/{name}"))
+            if len(old) < 2:
+                continue
+            draft = f"{self.folder}/{kind}/.{name}"
+            applied({kind: self.spark.read.parquet(*old)})[kind].write.mode("overwrite").parquet(draft)
+            names = [path(p).getName() for p in old]
+            for p in old:  # what they took in stays taken in
+                if fs.exists(path(f"{p}/_replaces")):
+                    stream = fs.open(path(f"{p}/_replaces"))
+                    names += bytes(stream.readAllBytes()).decode().split("\n")
+                    stream.close()
+            out = fs.create(path(f"{draft}/_replaces"), True)
+            out.write(bytearray("\n".join(names).encode()))
+            out.close()
+            fs.rename(path(draft), path(f"{self.folder}/{kind}/{name}"))
             for p in old:
                 fs.delete(path(p), True)
 

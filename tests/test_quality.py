@@ -39,6 +39,11 @@ def test_signed_deltas(spark, lines, tmp_path):
     want = {k: sorted(map(str, t.collect())) for k, t in quality.counted(lines, ["load"], ["amount", "name"]).items()}
     assert {k: sorted(map(str, t.collect())) for k, t in store.tables().items()} == want
     store.compact("whole")
+    store.add(more, ["amount", "name"], "b")  # was taken in: counts no more
+    store.add(more, ["amount", "name"], "d")
+    store.add(more, ["amount", "name"], "e", sign=-1)
+    store.compact("again")
+    assert {p.name for p in (tmp_path / "counts" / "text").iterdir() if not p.name.startswith(".")} == {"again", "b"}
     assert {k: sorted(map(str, t.collect())) for k, t in store.tables().items()} == want
 
 
