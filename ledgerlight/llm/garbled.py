@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,10 @@ ENTER_UTF8, ENTER_CYRILLIC, ENTER_PLAIN, ENTER_LINK, LEAVE = 2.5, 4.0, 4.8, 2.0,
 PAIRS = 200_000
 #: Weight of the single-character model within the bigram model.
 BACK = 8.0
+#: What a symbol between blanks can speak for a pair of single-byte encodings, at most.
+ALONE = 1.0
+#: Words after which a lost character is only spoken of.
+SPOKEN = ("sign", "character", "symbol", "glyph")
 QUOTES = {"“": "”", "„": "“”", "«": "»", "‘": "’", "‚": "‘’", "»": "«"}
 
 #: Cyrillic letters that pass for Latin ones. Words disguised with them are sound text.
@@ -191,6 +196,9 @@ class Model:
             out[(DISGUISE,)] = (self.chance(before, plain, after) - now, plain)
         if LOST in run:
             out[((LOST, LOST),)] = (20.0, run)
+        if before.isspace() and after.isspace() and all(c == "…" or unicodedata.category(c) in ("No", "So", "Zs") for c in run):
+            # a symbol that stands alone says little of how a text was read: ornaments do
+            out = {c: (min(x[0], ALONE) if c[0][0] in SINGLE else x[0], x[1]) for c, x in out.items()}
         out = {c: x for c, x in out.items() if x[0] > -6}
         if len(run) <= 100:
             if len(self.seen) > 100_000:
@@ -229,7 +237,7 @@ class Model:
             link = link[1]
         path = path[::-1][1:]
         found = [(a, b, c, s[c][1], s[c][0]) for (a, b, s), c in zip(steps, path, strict=True) if c is not None and c[0] != DISGUISE]
-        return [] if found and all(_quoted(text, a, b, restored) for a, b, _, restored, _ in found) else found
+        return [x for x in found if not _quoted(text, *x[:2], x[3]) and not (x[2][0][0] == LOST and text[: x[0]].rstrip().rpartition(" ")[2].lower() in SPOKEN)]
 
 
 def _quoted(text: str, a: int, b: int, restored: str) -> bool:

@@ -63,6 +63,8 @@ def test_other_scripts(model, lang, pair):
 def test_sound_text(model, corpus):
     assert not [t for t in corpus if model.label(t)]
     assert not model.label("When “é” shows up as “Ã©”, the file was opened with the wrong setting.")
+    assert not model.label("The replacement sign � means a byte could not be shown.")
+    assert not model.label("naïve café ½ ² ™\nmore ½ ² ™")
     assert not model.label("") and not model.label("plain ascii")
 
 
