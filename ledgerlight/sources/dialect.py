@@ -1,4 +1,4 @@
-"""How a delimited file is written: encoding, delimiter, quotes, header. Found from its first bytes, checked on all rows when it is loaded."""
+"""How a delimited file is written: encoding, delimiter, quotes, header. Found from its first bytes; encoding and width are checked on all rows when it is loaded."""
 
 from __future__ import annotations
 

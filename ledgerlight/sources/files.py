@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +48,13 @@ def texts(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
     return df.select(*[F.nullif(_clean(dialect.encoding, quoted(n)), F.lit("")).alias(n) for n in dialect.names], quoted(_BAD))
 
 
-def inferred(df: DataFrame) -> tuple[dict[str, str], int]:
-    """The type of each column, and the number of records that don't fit; one pass over all rows."""
+def inferred(df: DataFrame) -> tuple[dict[str, str], int, int]:
+    """The type of each column, the number of records that don't fit, and of fields that hold U+FFFD; one pass over all rows."""
     names = [c for c in df.columns if c != _BAD]
     parts = [F.count(quoted(_BAD)).alias("bad")]
     for k, c in enumerate(names):
         v = F.trim(quoted(c))
+        parts.append(F.count_if(F.contains(quoted(c), F.lit("\ufffd"))).alias(f"lost{k}"))
         parts.append(F.count(quoted(c)).alias(f"n{k}"))
         for t, pattern in _TYPES:
             parts.append(F.count_if(v.rlike(rf"\A(?:{pattern})\z") & v.try_cast(t).isNotNull()).alias(f"{t}{k}"))
@@ -62,14 +65,29 @@ def inferred(df: DataFrame) -> tuple[dict[str, str], int]:
         fits = [t for t, _ in _TYPES if n and r[f"{t}{k}"] == n]
         mixed = n and r[f"date{k}"] + r[f"timestamp_ntz{k}"] == n
         out[c] = fits[0] if fits else "timestamp_ntz" if mixed else "string"
-    return out, r["bad"]
+    return out, r["bad"], sum(r[f"lost{k}"] for k in range(len(names)))
+
+
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all bytes of a file are UTF-8; lines are read as they stand, and no character of several bytes holds a line break."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def load(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DataFrame:
-    """A delimited file as a typed table; any record of another width than the first is an error."""
+    """A delimited file as a typed table; any record of another width than the first is an error.
+
+    Readers put U+FFFD for what isn't UTF-8. Where some comes out, or records don't fit, the bytes of the whole
+    file are tested, and a file that isn't UTF-8 behind its head is read again, wholly, as cp1252.
+    """
     dialect = dialect or sniff(*head_of(spark, path))
     df = texts(spark, path, dialect)
-    types, bad = inferred(df)
+    types, bad, lost = inferred(df)
+    if (bad or lost) and dialect.encoding in ("utf-8", "utf-8-sig") and not is_utf8(spark, path):
+        df = texts(spark, path, replace(dialect, encoding="cp1252"))
+        if dialect.encoding == "utf-8-sig" and not dialect.has_header:
+            first = dialect.names[0]
+            df = df.withColumn(first, F.nullif(F.regexp_replace(quoted(first), r"\A\x{EF}\x{BB}\x{BF}", ""), F.lit("")))
+        types, bad, _ = inferred(df)
     if bad:
         raise DialectError(f"{bad} records don't have {len(dialect.names)} fields")
     return df.select(*[(F.trim(quoted(c)).try_cast(t) if t != "string" else quoted(c)).alias(c) for c, t in types.items()])

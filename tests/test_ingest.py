@@ -51,6 +51,18 @@ def test_cp1252(spark, tmp_path):
     assert [r.name for r in df.orderBy("n").collect()] == ["It’s €5 – ok", "Käse"]
 
 
+@pytest.mark.parametrize("head", [b"name,n\n", b"\xef\xbb\xbfname,n\n", b"\xef\xbb\xbf"])
+def test_cp1252_behind_the_head(spark, tmp_path, head):
+    late = head + b"7,1\n" * 40_000 + "Käse – €5,2\n".encode("cp1252")
+    got = files.load(spark, write(tmp_path, late)).toDF("name", "n").groupBy("name", "n").count().collect()
+    assert sorted(map(tuple, got)) == [("7", 1, 40_000), ("Käse – €5", 2, 1)]
+
+
+def test_lost_in_the_file_itself(spark, tmp_path):
+    late = b"name,n\n" + b"7,1\n" * 40_000 + "Käse \ufffd,2\n".encode()
+    assert files.load(spark, write(tmp_path, late)).filter("n = 2").collect()[0].name == "Käse \ufffd"
+
+
 @pytest.mark.parametrize(("dates", "order"), [(["13/02/2024", "01/02/2024"], "day_first"), (["02/13/2024"], "month_first"), (["01/02/2024"], "ambiguous"), (["2024-01-02"], "iso"), (["13/02/2024", "02/13/2024"], "ambiguous"), (["hello"], "not_a_date"), ([None], "not_a_date")])
 def test_date_orders(spark, dates, order):
     assert verify.date_orders(spark.createDataFrame([(d,) for d in dates], "d string"), ["d"]) == {"d": order}
