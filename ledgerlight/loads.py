@@ -19,6 +19,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return loaded.filter(F.col("reason").isin(*rejects.REASONS)).select("record_id", "reason")
 
 
+def p3_typed(spark: SparkSession, folder: str) -> DataFrame:
+    dialects = table(spark, folder, "dialects")
+    return rejects.valued(rejects.load(table(spark, folder, "raw_records"), dialects), dialects)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "retail_lines")
     columns = [c for c in lines.columns if c not in LOAD_COLUMNS]
@@ -29,7 +34,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.departures(profiles.join(feeds, "dataset_id"), "feed_id", "dataset_id", SIGNED, MEASURED, VARIED, FORMATS, stated=table(spark, folder, "column_profiles"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p4_found": p4_found}
 
 _TEXT = "invoice_no invoice_type invoice_quarter invoice_month stock_code description line_type country operator_note".split()
 _NUMBERS = "invoice_year invoice_dow invoice_hour is_complete_quarter is_product_line is_revenue_line quantity unit_price line_revenue is_return customer_id is_identified_customer is_country_known has_negative_price is_extreme_quantity".split()
