@@ -1,10 +1,12 @@
 """The registered queries over loaded files and loads: rejected records, column profiles."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import quality, rejects
-from ledgerlight.sources.tables import table
+from ledgerlight.sources.tables import scratch, table
 
 #: What a whole value of these columns looks like.
 FORMATS = {"invoice_no": "C?[0-9]{8}", "stock_code": "P[0-9]{5}|POST|FEE|MAN|ADJ|CAR|DISC"}
@@ -27,9 +29,10 @@ def p3_typed(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "retail_lines")
     columns = [c for c in lines.columns if c not in LOAD_COLUMNS]
-    # medians are taken of decimal columns
-    counts = quality.counted(lines.withColumn("quantity", F.col("quantity").cast("double")), ["dataset_id"], columns)
-    profiles = quality.profile(counts, ["dataset_id"], FORMATS, medians=True)
+    counts = quality.ValueCounts(spark, f"{scratch(spark)}/counts-{uuid.uuid4().hex}", ["dataset_id"])
+    # all loads there are arrive as one delta, in which each has counts of its own; medians are taken of decimal columns
+    counts.add(lines.withColumn("quantity", F.col("quantity").cast("double")), columns, "arrived")
+    profiles = quality.profile(counts.tables(), ["dataset_id"], FORMATS, medians=True)
     feeds = lines.groupBy("dataset_id").agg(F.max("feed_id").alias("feed_id"))
     return quality.departures(profiles.join(feeds, "dataset_id"), "feed_id", "dataset_id", SIGNED, MEASURED, VARIED, FORMATS, stated=table(spark, folder, "column_profiles"))
 

@@ -86,7 +86,10 @@ class ValueCounts:
             delta.write.mode("overwrite").parquet(f"{self.folder}/{kind}/{name}")
 
     def tables(self) -> dict[str, DataFrame]:
-        return applied({k: self.spark.read.parquet(*parts) for k in KINDS if (parts := self._parts(k))})
+        """The tables as they are now. A part holds no value twice, so a kind of one part is whole as it stands."""
+        parts = {k: p for k in KINDS if (p := self._parts(k))}
+        read = {k: self.spark.read.parquet(*p) for k, p in parts.items()}
+        return {k: t if len(parts[k]) == 1 else applied({k: t})[k] for k, t in read.items()}
 
     def compact(self, name: str) -> None:
         """One part instead of many. The new part says which ones it takes in, so readers count every delta once

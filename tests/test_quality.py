@@ -72,3 +72,25 @@ def test_misstated_and_nulls(spark):
     assert quality.misstated(p, spark.createDataFrame(wrong, schema), "load").count() == 2
     empty = quality.profile(quality.counted(df.limit(0), ["load"], ["name", "amount"]), ["load"], medians=True)
     assert empty.count() == 0
+
+
+def test_found_from_maintained_counts(spark, data, monkeypatch):
+    from ledgerlight import loads
+
+    kept = []
+
+    class Kept(quality.ValueCounts):
+        def tables(self):
+            kept.append(self)
+            return super().tables()
+
+    monkeypatch.setattr(quality, "ValueCounts", Kept)
+    found = {tuple(r) for r in loads.p4_found(spark, data).collect()}
+    assert len(kept) == 1 and all(kept[0]._parts(k) for k in ("text", "integer", "decimal", "moment"))
+    # a load that is sent again and withdrawn again leaves the counts as they were
+    lines = spark.read.parquet(f"{data}/retail_lines.parquet").withColumn("quantity", F.col("quantity").cast("double"))
+    columns = [c for c in lines.columns if c not in loads.LOAD_COLUMNS]
+    before = {k: t.count() for k, t in kept[0].tables().items()}
+    kept[0].add(lines, columns, "again")
+    kept[0].add(lines, columns, "withdrawn", sign=-1)
+    assert {k: t.count() for k, t in kept[0].tables().items()} == before and found
