@@ -16,7 +16,10 @@ def rollup(events: DataFrame, time: str, length: str, keys: list[str], aggregate
 
 
 def drained(stream: DataFrame, name: str, timeout: int = 600) -> DataFrame:
-    """The state of a streamed aggregate after all that is there now was read: each micro-batch replaces the table it is written to."""
+    """The state of a streamed aggregate after all that is there now was read: each micro-batch replaces the table it is written to.
+
+    A stream that isn't through after `timeout` seconds is an error: its state lacks rows.
+    """
     import uuid
 
     spark = stream.sparkSession
@@ -27,7 +30,8 @@ def drained(stream: DataFrame, name: str, timeout: int = 600) -> DataFrame:
 
     query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/log").foreachBatch(keep).trigger(availableNow=True).start()
     try:
-        query.awaitTermination(timeout)
+        if not query.awaitTermination(timeout):
+            raise TimeoutError(f"the stream {name} wasn't read to its end within {timeout} seconds")
     finally:
         query.stop()
     return spark.read.schema(stream.schema).parquet(f"{folder}/state")

@@ -173,3 +173,15 @@ def test_samples(spark, tmp_path):
     model = build(df, claims=claims)
     assert model.parsers == {"event_date": "day_first"} and model.binding("order_total").status == "verified"
     assert model.binding("order_ref").status == "refuted"  # no reference comes twice
+
+
+def test_a_stream_that_is_not_through(spark, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    from ledgerlight.streaming import rollup
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: self.processAllAvailable() or False)
+    events = spark.readStream.format("rate").load().selectExpr("timestamp at", "value")
+    counts = rollup.rollup(events, "at", "1 day", [], {"n": rollup.F.count(rollup.F.lit(1))})
+    with pytest.raises(TimeoutError):
+        rollup.drained(counts, "late")
