@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bits of a bitmap: a million, good for 8 million values within 1.3 % (one standard error).
+#: Bits of a bitmap where no size is known: a million, good for 8 million values within 1.3 % (one standard error).
 BITS = 1 << 20
+#: Relative standard error that bitmaps are sized for; small cells, too, then hardly ever have two values on one bit.
+TARGET = 0.0007
 #: Up to so many cells of roll-ups are broadcast (about 100 bytes each); beyond it they are joined by shuffle.
 BROADCAST_CELLS = 200_000
 
@@ -68,10 +70,21 @@ def margin(n: Column, bits: int = BITS, sigmas: float = 4.0) -> Column:
     return F.sqrt(F.greatest(F.exp(t) - t - 1, F.lit(0.0)) * bits) * sigmas
 
 
+def _bounded(off: Column, bits: int) -> Column:
+    """A margin where an empty bit is left; a full bitmap says nothing of how many more values there are."""
+    return F.when(F.col("set_bits") < bits, off)
+
+
+def sized(lines: DataFrame, group: str, target: float = TARGET) -> int:
+    """Bits for cells that lie within a `group`: by its largest number of rows, which no cell's values exceed."""
+    rows = lines.groupBy(F.col(f"`{group}`")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
+    return bits_for(max(rows or 0, 1), target)
+
+
 def distinct(partials: DataFrame, groups: list[str], bits: int = BITS) -> DataFrame:
-    """`groups`, set_bits, rows (with a value), estimate and margin, from partial bitmaps; groups without a value don't come out."""
+    """`groups`, set_bits, rows (with a value), estimate and margin, from partial bitmaps; groups without a value don't come out, and a full bitmap has no margin."""
     sums = merged(partials, groups).groupBy(*groups).agg(F.sum(F.bit_count("mask")).alias("set_bits"), F.sum("rows").alias("rows"))
-    return sums.withColumn("estimate", estimate(F.col("set_bits"), bits)).withColumn("margin", margin(F.col("estimate"), bits))
+    return sums.withColumn("estimate", estimate(F.col("set_bits"), bits)).withColumn("margin", _bounded(margin(F.col("estimate"), bits), bits))
 
 
 def repeated(df: DataFrame, groups: list[str], value: str, bits: int = BITS) -> DataFrame:
@@ -86,7 +99,7 @@ def repeated(df: DataFrame, groups: list[str], value: str, bits: int = BITS) ->
     empty = F.greatest(F.lit(bits) - F.col("set_bits"), F.lit(1)) / F.lit(float(bits))
     once = (F.col("set_bits") - F.col("again")) / F.lit(float(bits))
     sums = sums.withColumn("estimate", F.greatest(-F.log(empty) - once / empty, F.lit(0.0)) * bits)
-    return sums.withColumn("margin", 2 * margin(estimate(F.col("set_bits"), bits), bits))
+    return sums.withColumn("margin", _bounded(2 * margin(estimate(F.col("set_bits"), bits), bits), bits))
 
 
 def _area(day: Column, country: Column, line_type: Column) -> Column:
@@ -121,11 +134,11 @@ def _each(lines: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _doubtful(stated: Column, off: str = "margin") -> Column:
-    """Whether a stated number is more than a tenth off the estimate, or the error could make it so."""
-    return F.abs(stated - F.col("estimate")) > F.col("estimate") / 10 - F.col(off) * 1.1 - 1e-6
+    """Whether a stated number is more than a tenth off the estimate, or the error could make it so; without a margin it always could."""
+    return F.col(off).isNull() & stated.isNotNull() | (F.abs(stated - F.col("estimate")) > F.col("estimate") / 10 - F.col(off) * 1.1 - 1e-6)
 
 
-def wrong_rollups(lines: DataFrame, rollups: DataFrame, bits: int = BITS) -> DataFrame:
+def wrong_rollups(lines: DataFrame, rollups: DataFrame, bits: int | None = None) -> DataFrame:
     """rollup_id of the roll-ups of which distinct_count or uniqueness_ratio is more than a tenth off.
 
     Each load's lines give partial bitmaps; their union gives the count of each part of a feed that
@@ -140,6 +153,7 @@ def wrong_rollups(lines: DataFrame, rollups: DataFrame, bits: int = BITS) -> Dat
     stated = stated.withColumn("cell", F.xxhash64("area", "column_name"))
     cells = stated.select("area", "column_name", "cell").distinct()
     small = cells.count() <= BROADCAST_CELLS
+    bits = bits or sized(lines, "feed_id")
     counts = distinct(bitmaps(_covered(lines, cells, columns, small), ["cell", "load_no"], "value", bits), ["cell"], bits)
     doubtful = stated.join(counts, "cell").filter(_doubtful(F.col("distinct_count")) | _doubtful(F.col("uniqueness_ratio") * F.col("rows")))
     again = doubtful.select("area", "column_name", "cell").distinct()
@@ -148,7 +162,7 @@ def wrong_rollups(lines: DataFrame, rollups: DataFrame, bits: int = BITS) -> Dat
     return stated.join(exact, "cell").filter(false).select("rollup_id")
 
 
-def wrong_dependencies(lines: DataFrame, dependencies: DataFrame, bits: int = BITS) -> DataFrame:
+def wrong_dependencies(lines: DataFrame, dependencies: DataFrame, bits: int | None = None) -> DataFrame:
     """fd_id of the dependencies whose support is more than a tenth off the number of non-null
     determinant values on more than one line of the feed; estimated and then, where it matters,
     counted exactly, as roll-ups are. A null support is no false one; unknown columns aren't counted."""
@@ -158,8 +172,9 @@ def wrong_dependencies(lines: DataFrame, dependencies: DataFrame, bits: int = BI
     stated = dependencies.filter(F.col("determinant").isin(columns)).select("fd_id", "feed_id", F.col("determinant").alias("column_name"), "support")
     keys = ["feed_id", "column_name"]
     small = stated.select(*keys).distinct().count() <= BROADCAST_CELLS
+    bits = bits or sized(lines, "feed_id")
     counts = repeated(_each(lines, columns), keys, "value", bits)
-    rated = stated.join(counts, keys, "left").withColumns({"estimate": F.coalesce("estimate", F.lit(0.0)), "margin": F.coalesce("margin", F.lit(0.0))})
+    rated = stated.join(counts, keys, "left").withColumns({"estimate": F.coalesce("estimate", F.lit(0.0)), "margin": F.when(F.col("set_bits").isNull(), 0.0).otherwise(F.col("margin"))})
     again = rated.filter(_doubtful(F.col("support"))).select(*keys).distinct()
     exact = _each(lines, columns).join(F.broadcast(again) if small else again, keys, "left_semi").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") > 1).alias("t"))
     # counted cells, and those without any value, whose support is 0

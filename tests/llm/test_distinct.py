@@ -48,3 +48,19 @@ def test_wrong_figures(spark):
     assert sorted(r[0] for r in distinct.wrong_dependencies(lines, fds).collect()) == [2, 3]
     assert distinct.wrong_rollups(lines.limit(0), spark.createDataFrame(rows, schema)).count() == 0
     assert distinct.wrong_rollups(lines, spark.createDataFrame([], schema)).count() == 0
+
+
+def test_full_bitmaps_have_no_margin(spark):
+    df = spark.range(4000).selectExpr("'g' g", "cast(id as string) v", "0 part")
+    assert distinct.distinct(distinct.bitmaps(df, ["g", "part"], "v", 64), ["g"], 64).collect()[0].margin is None
+    assert distinct.repeated(df, ["g"], "v", 64).collect()[0].margin is None
+    lines = df.selectExpr("g feed_id", "0 load_no", "cast(null as timestamp_ntz) invoice_date", "'C' country", "'P' line_type", "v customer_id")
+    rollups = spark.createDataFrame([(1, "g", None, None, None, "customer_id", 300, 1.0), (2, "g", None, None, None, "customer_id", 4000, 1.0), (3, "g", None, None, None, "customer_id", None, None)], "rollup_id long, feed_id string, sale_date date, country string, line_type string, column_name string, distinct_count long, uniqueness_ratio double")
+    assert [r[0] for r in distinct.wrong_rollups(lines, rollups, 64).collect()] == [1]
+
+
+def test_bitmaps_are_sized_by_the_largest_group(spark):
+    lines = spark.range(3000).selectExpr("if(id < 2900, 'g', 'h') feed_id")
+    bits = distinct.sized(lines, "feed_id", 0.01)
+    assert bits == distinct.bits_for(2900, 0.01) and distinct.error(2900, bits) <= 0.01
+    assert distinct.sized(lines.limit(0), "feed_id") >= 64 and distinct.bits_for(100_000_000, distinct.TARGET) > distinct.BITS
