@@ -5,7 +5,8 @@ bytes of one encoding that were read as another (or a chain of such errors). A s
 chance of the text that its inverse transform gives, by a character-bigram model of the whole corpus;
 only runs that hold a character outside ASCII can tell the states apart, so those are the steps of the
 Viterbi path and the ASCII between them costs nothing. Each span in a pair's state gets that state's
-inverse transform. A further state stands for characters that are lost (U+FFFD).
+inverse transform. Two further states stand for characters that are lost: U+FFFD, and question marks
+where a word's letters stand, of which the model says that letters outside ASCII are likelier there.
 """
 
 from __future__ import annotations
@@ -52,8 +53,13 @@ COMMON = {
     ("cp1250", "iso8859-2"), ("iso8859-2", "cp1250"),
 }
 ENTER_RARE = 13.0
+#: Question marks in place of letters: within a word, at its head, or three and more that are a word of their
+#: own. A query string behind a path isn't meant.
+ASKED = ("?", "?")
+_BEFORE, _BEHIND = r"(?<![^\s,;|\"'(\[])", r"(?![^\s,;|\"')\]])"
+_LETTERS = re.compile(rf"(?:(?<=[^\W\d_])|{_BEFORE})\?+(?=[^\W\d_])(?!\w+=)|{_BEFORE}\?{{3,}}{_BEHIND}")
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
+_RUN = re.compile(rf"{_LETTERS.pattern}|[^\x00-\x7f]+")
 
 
 @lru_cache(None)
@@ -141,25 +147,55 @@ def _cost(chain: tuple[tuple[str, str], ...]) -> float:
     source, reader = chain[0]
     if chain == ((LOST, LOST),):
         return 0.0
+    if chain[0] == ASKED:
+        return ENTER_PLAIN
     if chain[0] == DISGUISE:
         return ENTER_DISGUISE
     first = (ENTER_PLAIN if chain[0] in COMMON else ENTER_RARE) if source != "utf-8" else ENTER_CYRILLIC if reader in ("cp1251", "koi8-r", "cp866") else ENTER_UTF8
-    return first + ENTER_LINK * (len(chain) - 1)
+    return first + sum(ENTER_LINK if further == "utf-8" else ENTER_PLAIN for further, _ in chain[1:])
+
+
+def _wide(c: str) -> bool:
+    return c > "\x7f" and c.isalpha()
 
 
 class Model:
     """The bigram model and the pairs' emissions; remembers the runs it has seen."""
 
-    def __init__(self, pairs: dict[tuple[str, str], int]):
-        single: dict[str, int] = {}
-        for (a, _), n in pairs.items():
-            single[a] = single.get(a, 0) + n
+    def __init__(self, pairs: dict[tuple[str, str], int], single: dict[str, int] | None = None):
+        """From the counts of pairs and, where not all pairs are given, of single characters."""
+        if single is None:
+            single = {}
+            for (a, _), n in pairs.items():
+                single[a] = single.get(a, 0) + n
         total = sum(single.values()) + len(single) + 1
         self.single = {c: math.log((n + 0.5) / total) for c, n in single.items()}
         self.floor = math.log(0.5 / total)
         self.count, self.pairs = single, pairs
         self.seen: dict[tuple[str, str, str], dict] = {}
         self.all = _pairs()
+        # text that was written as UTF-8 once more may have been read wrongly by any common pair before
+        self.further = [p for p in self.all if p[0] == "utf-8" and p[1] in SINGLE or p in COMMON and p[0] in SINGLE]
+        # letters outside ASCII, taken together: how often they come, and before and after which characters
+        self.wide = sum(n for c, n in single.items() if _wide(c))
+        self.rate = (self.wide + 0.5) / total
+        self.after: dict[str, int] = {}
+        self.before: dict[str, int] = {}
+        for (a, b), n in pairs.items():
+            if _wide(b):
+                self.after[a] = self.after.get(a, 0) + n
+            if _wide(a):
+                self.before[b] = self.before.get(b, 0) + n
+
+    def asked(self, before: str, run: str, after: str) -> float:
+        """How much likelier letters outside ASCII are than the question marks of `run`."""
+
+        def share(hits: int, of: int, rate: float) -> float:
+            return math.log((hits + BACK * rate) / (of + BACK))
+
+        within = sum(self.after.get(c, 0) for c in self.count if _wide(c)) if len(run) > 1 else 0
+        letters = share(self.after.get(before, 0), self.count.get(before, 0), self.rate) + (len(run) - 1) * share(within, self.wide, self.rate)
+        return letters + share(self.before.get(after, 0), self.wide, math.exp(self.single.get(after, self.floor))) - self.chance(before, run, after)
 
     def chance(self, before: str, text: str, after: str) -> float:
         """Log chance of `text` and the character after it, given the one before."""
@@ -175,11 +211,14 @@ class Model:
         key = (before, run, after)
         if (known := self.seen.get(key)) is not None:
             return known
+        if run[0] == "?":
+            self.seen[key] = out = {(ASKED,): (self.asked(before, run, after), run)}
+            return out
         now = self.chance(before, run, after)
         out: dict[tuple, tuple[float, str]] = {}
 
         def deepen(chain: tuple, text: str) -> None:
-            for pair in self.all if not chain else self.all[: len(SINGLE)]:
+            for pair in self.all if not chain else self.further:
                 restored = _undo(text, *pair)
                 if restored is None or restored == text:
                     continue
@@ -187,7 +226,7 @@ class Model:
                 longer = (*chain, pair)
                 if gain > 0 or pair[0] == "utf-8":
                     out[longer] = (gain, restored)
-                if len(longer) < 3 and pair[0] == "utf-8" and len(restored) > 1:
+                if len(longer) < 3 and pair[0] == "utf-8":
                     deepen(longer, restored)
 
         deepen((), run)
@@ -263,9 +302,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(texts: DataFrame, pairs: int = PAIRS) -> Model:
-    """The bigram model of all of a corpus's texts (column `text`); one pass, of which at most `pairs` rows come to the driver."""
+    """The bigram model of all of a corpus's texts (column `text`), in one pass.
+
+    At most `pairs` rows come to the driver, and one for each different character, of which there are no more than
+    Unicode has; characters are counted in full, whatever pairs are kept.
+    """
     counts = texts.select("text").filter("text is not null").mapInPandas(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return Model({(chr(r.a), chr(r.b)): r.n for r in counts.orderBy(F.desc("n"), "a", "b").limit(pairs).collect()})
+    # one aggregate for both: the pairs' counts, and their sums by the first character
+    both = counts.groupBy("a").agg(F.sum("n").alias("n")).select("a", F.lit(-1).cast("long").alias("b"), "n").unionByName(counts.orderBy(F.desc("n"), "a", "b").limit(pairs))
+    kept, single = {}, {}
+    for r in both.collect():
+        if r.b < 0:
+            single[chr(r.a)] = r.n
+        else:
+            kept[chr(r.a), chr(r.b)] = r.n
+    return Model(kept, single)
 
 
 def restored(entries: DataFrame, model: Model | None = None, keys: tuple[str, ...] = ("src", "row_id", "pos")) -> DataFrame:
@@ -279,7 +330,8 @@ def restored(entries: DataFrame, model: Model | None = None, keys: tuple[str, ..
     """
     spark = entries.sparkSession
     chosen = entries.select(*[F.col(f"`{k}`") for k in keys], F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast((model or train(chosen)).pairs)
+    trained = model or train(chosen)
+    shared = spark.sparkContext.broadcast((trained.pairs, trained.count))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", restored string, lost boolean, spans array<struct<start: int, end: int, encodings: string, original: string>>"
     names = [*keys, "restored", "lost", "spans"]
 
@@ -289,15 +341,15 @@ def restored(entries: DataFrame, model: Model | None = None, keys: tuple[str, ..
             out = []
             for row in batch.itertuples(index=False, name=None):
                 text = row[-1]
-                if not text or text.isascii() or not (found := mine.label(text)):
+                if not text or text.isascii() and not ("?" in text and _LETTERS.search(text)) or not (found := mine.label(text)):
                     continue
                 parts, at = [], 0
                 for a, b, _, original, _ in found:
                     parts += [text[at:a], original]
                     at = b
                 whole = "".join(parts) + text[at:]
-                spans = [{"start": a, "end": b, "encodings": " ".join(f"{s}>{r}" if s != LOST else "lost" for s, r in chain), "original": original} for a, b, chain, original, _ in found]
-                out.append((*row[:-1], whole, LOST in whole, spans))
+                spans = [{"start": a, "end": b, "encodings": " ".join(f"{s}>{r}" if s not in (LOST, "?") else "lost" for s, r in chain), "original": original} for a, b, chain, original, _ in found]
+                out.append((*row[:-1], whole, LOST in whole or any(x[2] == (ASKED,) for x in found), spans))
             yield pd.DataFrame(out, columns=names)
 
     return chosen.filter("length(text) > 0").mapInPandas(run, schema)
@@ -311,5 +363,5 @@ def _model_of(shared) -> Model:
     key = id(shared.value)
     if key not in _models:
         _models.clear()
-        _models[key] = Model(shared.value)
+        _models[key] = Model(*shared.value)
     return _models[key]

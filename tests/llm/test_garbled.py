@@ -78,6 +78,34 @@ def test_lost(model):
     assert model.label("A caf� here")[0][2] == (("�", "�"),)
 
 
+def test_question_marks_for_letters(model):
+    """Letters that were lost when a text was written: within a word, at its head, or a whole word."""
+    assert [x[:2] for x in model.label("Gr?ne K?che")] == [(2, 3), (7, 8)]
+    assert model.label("l?été, ?té sera") and model.label("der Sch?ssel") and model.label("a;????????;b")
+    for sound in ("Who knows? Nobody.", "really?? yes", "see /page?id=3 and /x?y=1", "?", "what ?", "(?)"):
+        assert not model.label(sound)
+
+
+def test_chain_ends_in_any_common_pair(model):
+    """Read wrongly, written as UTF-8, and read wrongly again."""
+    text = broken(SOUND["ru"], ("cp1251", "western"), ("utf-8", "western"))
+    found = model.label(text)
+    whole, at = "", 0
+    for a, b, _, original, _ in found:
+        whole += text[at:a] + original
+        at = b
+    whole += text[at:]
+    same = sum(x == y for x, y in zip(whole, SOUND["ru"], strict=False))
+    assert same >= 0.97 * len(SOUND["ru"])
+    assert (("utf-8", "western"), ("cp1251", "western")) in {x[2] for x in found}
+
+
+def test_characters_are_counted_in_full(spark, corpus):
+    df = spark.createDataFrame([(t,) for t in corpus], "text string")
+    full, few = garbled.train(df), garbled.train(df, 10)
+    assert len(few.pairs) == 10 and few.count == full.count and few.floor == full.floor
+
+
 def test_frame(spark, corpus):
     bad = broken(SOUND["de"], ("utf-8", "western"))
     rows = [("a", k, 0, t, "x") for k, t in enumerate(corpus)] + [("b", 1, 0, bad, "x"), ("b", 1, 0, bad, "x"), ("b", 2, 0, None, "x"), ("b", 3, 0, "", "x"), ("b", 4, None, SOUND["fr"] * 300, "x"), ("b", 5, 0, "lost �", "x")]
