@@ -26,18 +26,35 @@ def p3_typed(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.valued(rejects.load(table(spark, folder, "raw_records"), dialects), dialects)
 
 
+def _counts(spark: SparkSession, keys: list[str]) -> quality.ValueCounts:
+    """New value-count tables in the shared folder."""
+    return quality.ValueCounts(spark, f"{scratch(spark)}/counts-{uuid.uuid4().hex}", keys)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "retail_lines")
-    columns = [c for c in lines.columns if c not in LOAD_COLUMNS]
-    counts = quality.ValueCounts(spark, f"{scratch(spark)}/counts-{uuid.uuid4().hex}", ["dataset_id"])
+    counts = _counts(spark, ["dataset_id"])
     # all loads there are arrive as one delta, in which each has counts of its own; medians are taken of decimal columns
-    counts.add(lines.withColumn("quantity", F.col("quantity").cast("double")), columns, "arrived")
-    profiles = quality.profile(counts.tables(), ["dataset_id"], FORMATS, medians=True)
+    counts.add(lines.withColumn("quantity", F.col("quantity").cast("double")), [c for c in lines.columns if c not in LOAD_COLUMNS], "arrived")
+    profiles = quality.profile(counts.tables(), ["dataset_id"], FORMATS, f"{counts.folder}/ranges")
     feeds = lines.groupBy("dataset_id").agg(F.max("feed_id").alias("feed_id"))
-    return quality.departures(profiles.join(feeds, "dataset_id"), "feed_id", "dataset_id", SIGNED, MEASURED, VARIED, FORMATS, stated=table(spark, folder, "column_profiles"))
+    profiles.join(feeds, "dataset_id").write.parquet(f"{counts.folder}/profiles")
+    written = spark.read.parquet(f"{counts.folder}/profiles")
+    return quality.departures(written, "feed_id", "dataset_id", SIGNED, MEASURED, VARIED, FORMATS, stated=table(spark, folder, "column_profiles"))
+
+
+def p4_withdrawn(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of whole feeds, from counts to which all loads were added and from which each feed's last load was withdrawn again."""
+    lines = table(spark, folder, "retail_lines")
+    columns = [c for c in lines.columns if c not in LOAD_COLUMNS]
+    counts = _counts(spark, ["feed_id"])
+    counts.add(lines, columns, "arrived")
+    last = lines.groupBy("feed_id").agg(F.max("load_no").alias("load_no"))
+    counts.add(lines.join(last, ["feed_id", "load_no"]), columns, "withdrawn", sign=-1)
+    return quality.profile(counts.tables(), ["feed_id"]).select("feed_id", "column_name", "row_count", "null_count", "distinct_count", F.round("entropy", 6).alias("entropy"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p4_found": p4_found}
+QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p4_found": p4_found, "p4_withdrawn": p4_withdrawn}
 
 _TEXT = "invoice_no invoice_type invoice_quarter invoice_month stock_code description line_type country operator_note".split()
 _NUMBERS = "invoice_year invoice_dow invoice_hour is_complete_quarter is_product_line is_revenue_line quantity unit_price line_revenue is_return customer_id is_identified_customer is_country_known has_negative_price is_extreme_quantity".split()
@@ -77,6 +94,11 @@ w AS (SELECT record_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(x) <> len(t)
     ELSE true END)) > 0 THEN 'value' END AS reason FROM u)
 SELECT record_id, reason FROM w WHERE reason IS NOT NULL
 """,
+    "p4_withdrawn": " UNION ALL ".join(
+        f"SELECT feed_id, '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS distinct_count, ROUND(COALESCE(ENTROPY({c}), 0), 6) AS entropy"
+        " FROM retail_lines JOIN (SELECT feed_id, MAX(load_no) AS last FROM retail_lines GROUP BY 1) USING (feed_id) WHERE load_no <> last GROUP BY 1"
+        for c in [*_TEXT, *_NUMBERS, "invoice_date"]
+    ),
     "p4_found": f"""
 WITH p AS ({" UNION ALL ".join(map(_profile_sql, [*_TEXT, *_NUMBERS, "invoice_date"]))}),
 o AS (SELECT a.dataset_id, a.column_name, MEDIAN(1 - b.v / b.n) AS nulls, MEDIAN(b.neg / b.v) FILTER (WHERE b.v > 0) AS neg, MEDIAN(b.med) FILTER (WHERE b.v > 0) AS med, MEDIAN(b.d) FILTER (WHERE b.v > 0) AS d

@@ -115,26 +115,52 @@ class ValueCounts:
                 fs.delete(path(p), True)
 
 
-def profile(tables: dict[str, DataFrame], keys: list[str], formats: dict[str, str] | None = None, medians: bool = False) -> DataFrame:
+#: Ranges of a doubling of a number, by which a column's values are counted first for their median.
+_RANGES = 256
+#: Rows up to which the ranges that hold a middle value (about 60 bytes each) are broadcast; beyond it they are joined by shuffle.
+BROADCAST_RANGES = 200_000
+
+
+def _range_of(value: Column) -> Column:
+    """The range of a number, by its logarithm; ranges are in the order of their values, NaN last."""
+    return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.rint(F.log2(F.abs(value)) * _RANGES) + 1100 * _RANGES))
+
+
+def medians(table: DataFrame, key: list[str], folder: str) -> DataFrame:
+    """`key`, median: the exact median of each key's non-null values, from counts (value, n), with no task that has all values of a key.
+
+    Values are counted by range first. In which ranges the two middle values lie follows from these counts, which are
+    written to `folder`, a new one; only values of those ranges are ranked.
+    """
+    spark = table.sparkSession
+    rows = table.filter("value is not null and n > 0").select(*key, F.col("value").cast("double").alias("value"), "n").withColumn("range", _range_of(F.col("value")))
+    w = Window.partitionBy(*key)
+    counts = rows.groupBy(*key, "range").agg(F.sum("n").alias("n"))
+    sums = counts.withColumn("so_far", F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    # the lower middle value is the first whose count so far reaches half, the upper the first that exceeds it
+    middle = sums.filter("2 * so_far >= all and 2 * (so_far - n) <= all").select(*key, "range", (F.col("so_far") - F.col("n")).alias("before"), "all")
+    middle.write.parquet(folder)
+    middle = spark.read.parquet(folder)
+    near = rows.join(F.broadcast(middle) if middle.count() <= BROADCAST_RANGES else middle, [*key, "range"])
+    so_far = F.col("before") + F.sum("n").over(Window.partitionBy(*key, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = near.withColumn("so_far", so_far)
+    ends = [F.min(F.when(c, F.col("value"))) for c in (2 * F.col("so_far") >= F.col("all"), 2 * F.col("so_far") > F.col("all"))]
+    return ranked.groupBy(*key).agg(((ends[0] + ends[1]) / 2).alias("median"))
+
+
+def profile(tables: dict[str, DataFrame], keys: list[str], formats: dict[str, str] | None = None, folder: str | None = None) -> DataFrame:
     """Exact profile of each column under `keys`, from value counts.
 
     `keys`, column_name, row_count, null_count, null_rate, distinct_count, uniqueness_ratio, min_text,
-    max_text, min_number, max_number, min_moment, max_moment, negatives, zeros, positives,
-    integer_ratio (null for text and moments), entropy (bits, of the non-null values), violations (values, by number of
-    lines, that don't match the column's pattern in `formats`), and with `medians` the exact median
-    of decimal columns. A column without a non-null value has null ranges and entropy 0.
+    max_text, min_number, max_number (of decimal columns), min_whole, max_whole (of integer columns), min_moment,
+    max_moment, negatives, zeros, positives, integer_ratio (null for text and moments), entropy (bits, of the non-null
+    values), violations (values, by number of lines, that don't match the column's pattern in `formats`), and the exact
+    median of decimal columns where `folder` names a new folder for the ranges it is found by. A column without a
+    non-null value has null ranges and entropy 0.
     """
-    out = []
+    out, key = [], [*keys, "column_name"]
     for kind, table in tables.items():
-        key = [*keys, "column_name"]
         there, n, number = F.col("value").isNotNull(), F.col("n"), kind in ("integer", "decimal")
-        middle = F.lit(None).cast("double")
-        if medians and kind == "decimal":
-            # lower and upper middle value: the first whose count so far reaches half, and exceeds it
-            w = Window.partitionBy(*key)
-            weight = F.when(there, n).otherwise(0)
-            table = table.withColumn("so_far", F.sum(weight).over(w.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(weight).over(w))
-            middle = (F.min(F.when(there & (2 * F.col("so_far") >= F.col("all")), F.col("value"))) + F.min(F.when(there & (2 * F.col("so_far") > F.col("all")), F.col("value")))) / 2
 
         def count(condition: Column, n: Column = n) -> Column:
             return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
@@ -142,8 +168,8 @@ def profile(tables: dict[str, DataFrame], keys: list[str], formats: dict[str, st
         def signed(condition: Column, number: bool = number, count=count) -> Column:
             return count(condition) if number else F.lit(None).cast("long")
 
-        def only(value: Column, wanted: bool, storage: str) -> Column:
-            return value if wanted else F.lit(None).cast(storage)
+        def only(wanted: str, names: str, kind: str = kind) -> list[Column]:
+            return [(f("value") if kind == wanted else F.lit(None)).cast(KINDS[wanted]).alias(f"{end}_{names}") for f, end in ((F.min, "min"), (F.max, "max"))]
 
         v, broken = F.col("value"), F.lit(False)
         for column, pattern in (formats or {}).items():
@@ -151,33 +177,38 @@ def profile(tables: dict[str, DataFrame], keys: list[str], formats: dict[str, st
                 broken = F.when(F.col("column_name") == column, there & ~v.rlike(rf"\A(?:{pattern})\z")).otherwise(broken)
         rows, full = F.sum("n"), count(there)
         p = table.groupBy(*key).agg(
-            rows.alias("row_count"), (rows - full).alias("null_count"), F.count("value").alias("distinct_count"),
-            only(F.min(v), kind == "text", "string").alias("min_text"), only(F.max(v), kind == "text", "string").alias("max_text"),
-            only(F.min(v).cast("double"), number, "double").alias("min_number"), only(F.max(v).cast("double"), number, "double").alias("max_number"),
-            only(F.min(v), kind == "moment", "timestamp_ntz").alias("min_moment"), only(F.max(v), kind == "moment", "timestamp_ntz").alias("max_moment"),
+            rows.alias("row_count"), (rows - full).alias("null_count"), F.count("value").alias("distinct_count"), *only("text", "text"), *only("decimal", "number"), *only("integer", "whole"), *only("moment", "moment"),
             *[signed((v.cast("double") < 0) if number else F.lit(False)).alias("negatives"), signed((v == 0) if number else F.lit(False)).alias("zeros"), signed((v.cast("double") > 0) if number else F.lit(False)).alias("positives")],
             (signed(v == F.floor(v)) / F.nullif(full, F.lit(0)) if number else F.lit(None).cast("double")).alias("integer_ratio"),
-            F.sum(F.when(there, n * F.log2(n))).alias("weighted"), count(broken).alias("violations"), middle.alias("median"),
+            F.sum(F.when(there, n * F.log2(n))).alias("weighted"), count(broken).alias("violations"),
         )
+        p = p.join(medians(table, key, folder), key, "left") if folder and kind == "decimal" else p.withColumn("median", F.lit(None).cast("double"))
         out.append(p)
     whole = reduce(DataFrame.unionByName, out)
     full = F.col("row_count") - F.col("null_count")
     return whole.select(
-        *keys, "column_name", "row_count", "null_count", (F.col("null_count") / F.col("row_count")).alias("null_rate"), "distinct_count", (F.col("distinct_count") / F.nullif(full, F.lit(0))).alias("uniqueness_ratio"),
-        "min_text", "max_text", "min_number", "max_number", "min_moment", "max_moment", "negatives", "zeros", "positives", "integer_ratio",
+        *key, "row_count", "null_count", (F.col("null_count") / F.col("row_count")).alias("null_rate"), "distinct_count", (F.col("distinct_count") / F.nullif(full, F.lit(0))).alias("uniqueness_ratio"),
+        "min_text", "max_text", "min_number", "max_number", "min_whole", "max_whole", "min_moment", "max_moment", "negatives", "zeros", "positives", "integer_ratio",
         F.when(full > 0, F.greatest(F.log2(full) - F.col("weighted") / full, F.lit(0.0))).otherwise(0.0).alias("entropy"), "violations", "median",
     )
 
 
-def _median_of_others(values: str, mine: str) -> Column:
-    """Median of a sorted array without one element equal to `mine`; null if nothing is left or `mine` is null."""
-    at, left = F.array_position(values, F.col(mine)), F.size(values) - 1
+def _middles(value: str) -> Column:
+    """The values next to the middle of a group, sorted: four of them, from which the median without any one element follows."""
+    a = F.sort_array(F.collect_list(value))
+    k = F.size(a)
+    low, high = (F.floor((k - 2) / 2).cast("int"), F.floor((k - 1) / 2).cast("int"))
+    return F.when(k > 1, F.array(*[F.get(a, i) for i in (low, low + 1, high, high + 1)]))
+
+
+def _median_of_others(middles: str, mine: str) -> Column:
+    """Median of a group without one element equal to `mine`; null if nothing is left or `mine` is null."""
 
-    def kth(k: Column) -> Column:
-        k = k.cast("int")
-        return F.get(F.col(values), F.when(k < at, k - 1).otherwise(k).cast("int"))
+    def kth(at: int) -> Column:
+        a = F.get(F.col(middles), F.lit(at))
+        return F.when(F.col(mine) > a, a).otherwise(F.get(F.col(middles), F.lit(at + 1)))
 
-    return F.when(F.col(mine).isNotNull() & (left > 0), (kth(F.floor((left + 1) / 2)) + kth(F.floor(left / 2) + 1)) / 2)
+    return F.when(F.col(mine).isNotNull() & F.col(middles).isNotNull(), (kth(0) + kth(2)) / 2)
 
 
 #: Thresholds of the departures: difference of null shares, of shares of negatives, factor of medians,
@@ -193,9 +224,10 @@ def _departed(profiles: DataFrame, series: str, signs: list[str], shifts: list[s
         return F.when(name.isin(columns) & (full > 0), value.cast("double"))
 
     figures = {"null_rate": F.col("null_rate"), "negatives": among(signs, F.col("negatives") / F.nullif(full, F.lit(0))), "shift": among(shifts, F.col("median")), "constant": among(constants, F.col("distinct_count"))}
-    w = Window.partitionBy(series, "column_name")
     p = profiles.select("*", *[f.alias(f"f_{k}") for k, f in figures.items()])
-    p = p.select("*", *[F.sort_array(F.collect_list(f"f_{k}").over(w)).alias(f"a_{k}") for k in figures])
+    # a series gives one row, not an array to each of its loads
+    group = p.groupBy(F.col(series).alias("__series"), F.col("column_name").alias("__of")).agg(*[_middles(f"f_{k}").alias(f"a_{k}") for k in figures])
+    p = p.join(group, p[series].eqNullSafe(F.col("__series")) & (p["column_name"] == F.col("__of"))).drop("__series", "__of")
     p = p.select("*", *[_median_of_others(f"a_{k}", f"f_{k}").alias(f"o_{k}") for k in figures])
     m, o = F.col("f_shift"), F.col("o_shift")
     kinds = {
@@ -211,8 +243,8 @@ def _departed(profiles: DataFrame, series: str, signs: list[str], shifts: list[s
 def departures(profiles: DataFrame, series: str, load: str, signs: list[str], shifts: list[str], constants: list[str], formats: dict[str, str], limits: dict[str, float] = LIMITS, stated: DataFrame | None = None) -> DataFrame:
     """Columns of a load that depart from the series' other loads or break their format: `load`, column_name, kind.
 
-    Each figure is compared with the exact median over the other loads of the series; the loads of a
-    series (a few dozen) are gathered as arrays of one number each. Loads without a non-null value in
+    Each figure is compared with the exact median over the other loads of the series, which follows from the four
+    figures next to the series' middle. Profiles are read twice, so give them as a written table. Loads without a non-null value in
     the column are left out, but for the kind `null_rate`. A load without others isn't compared. With
     `stated`, columns whose statement there is false come out as the kind `stated`, in the same pass.
     """
@@ -234,8 +266,12 @@ def _holds() -> Column:
     true = F.lit(True)
     for end in ("min", "max"):
         text = F.col(f"s_{end}_value")
-        number, moment = text.try_cast("double").eqNullSafe(F.col(f"{end}_number")), text.try_cast("timestamp_ntz").eqNullSafe(F.col(f"{end}_moment"))
-        true &= F.when(F.col(f"{end}_number").isNotNull(), number).when(F.col(f"{end}_moment").isNotNull(), moment).otherwise(text.eqNullSafe(F.col(f"{end}_text")))
+        # whole numbers are compared as such: doubles don't tell those over 2 to the 53 apart
+        kinds = {"whole": "decimal(38,6)", "number": "double", "moment": "timestamp_ntz"}
+        held = text.eqNullSafe(F.col(f"{end}_text"))
+        for name, storage in kinds.items():
+            held = F.when(F.col(f"{end}_{name}").isNotNull(), text.try_cast(storage).eqNullSafe(F.col(f"{end}_{name}").cast(storage))).otherwise(held)
+        true &= held
     for c in ("null_count", "distinct_count", "negatives"):
         true &= F.col(f"s_{c}").eqNullSafe(F.col(c))
     return true
