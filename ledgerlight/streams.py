@@ -9,7 +9,7 @@ from ledgerlight.streaming.rollup import drained, rollup
 
 def q45_streamed_rollup(spark: SparkSession, folder: str) -> DataFrame:
     amounts = {"events": F.count(F.lit(1)), "total": F.sum(F.col("value").cast("decimal(18,6)")).cast("double")}
-    out = drained(rollup(stream(spark, folder, "events"), "ts", "1 day", ["event_type"], amounts), "rollup")
+    out = drained(rollup(stream(spark, folder, "events"), "ts", "1 day", ["event_type"], amounts), "rollup", ["period_start", "event_type"])
     return out.select(F.date_format("period_start", "yyyy-MM-dd").alias("day"), "event_type", "events", "total")
 
 
