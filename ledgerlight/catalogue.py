@@ -1,6 +1,6 @@
 """All registered queries outside the subpackage for training data, and their SQL."""
 
-from ledgerlight import loads, sales, streams
+from ledgerlight import files, loads, sales, streams
 
-QUERIES: dict = {**sales.QUERIES, **loads.QUERIES, **streams.QUERIES}
-SQL: dict = {**sales.SQL, **loads.SQL, **streams.SQL}
+QUERIES: dict = {**sales.QUERIES, **loads.QUERIES, **streams.QUERIES, **files.QUERIES}
+SQL: dict = {**sales.SQL, **loads.SQL, **streams.SQL, **files.SQL}

@@ -63,6 +63,21 @@ def test_lost_in_the_file_itself(spark, tmp_path):
     assert files.load(spark, write(tmp_path, late)).filter("n = 2").collect()[0].name == "Käse \ufffd"
 
 
+def test_numbers_keep_all_digits(spark, tmp_path):
+    rows = ["id,wide,beyond,mixed,tall"] + [f"{9223372036854775000 + k},{k}{'0' * 30}1,{'7' * 39}{k},{k}.5,{9223372036854775800 + k}" for k in range(10)] + [f"-1,,,{2**60 + 1},"]
+    df = files.load(spark, write(tmp_path, "\n".join(rows).encode()))
+    assert [t for _, t in df.dtypes] == ["bigint", "decimal(38,0)", "string", "string", "decimal(38,0)"]
+    assert df.distinct().count() == 11 and {r.mixed for r in df.collect()} >= {str(2**60 + 1), "0.5"}
+
+
+def test_splits_unless_a_line_break_is_quoted(spark, tmp_path):
+    plain = write(tmp_path, b'a,b\n1,"x ""y"""\n', "plain.csv")
+    broken = write(tmp_path, b'a,b\n1,"x\ny"\n', "broken.csv")
+    for path, whole in ((plain, False), (broken, True)):
+        assert files.lines_of(spark, path, sniff(*files.head_of(spark, path))) == (True, whole)
+    assert [tuple(r) for r in files.load(spark, plain).collect()] == [(1, 'x "y"')] and [tuple(r) for r in files.load(spark, broken).collect()] == [(1, "x\ny")]
+
+
 @pytest.mark.parametrize(("dates", "order"), [(["13/02/2024", "01/02/2024"], "day_first"), (["02/13/2024"], "month_first"), (["01/02/2024"], "ambiguous"), (["2024-01-02"], "iso"), (["13/02/2024", "02/13/2024"], "ambiguous"), (["hello"], "not_a_date"), ([None], "not_a_date")])
 def test_date_orders(spark, dates, order):
     assert verify.date_orders(spark.createDataFrame([(d,) for d in dates], "d string"), ["d"]) == {"d": order}
@@ -184,4 +199,4 @@ def test_a_stream_that_is_not_through(spark, monkeypatch):
     events = spark.readStream.format("rate").load().selectExpr("timestamp at", "value")
     counts = rollup.rollup(events, "at", "1 day", [], {"n": rollup.F.count(rollup.F.lit(1))})
     with pytest.raises(TimeoutError):
-        rollup.drained(counts, "late")
+        rollup.drained(counts, "late", ["period_start"])
