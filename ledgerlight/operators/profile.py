@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from ledgerlight.plans.model import Dependency
 
 #: How many values are listed, what determinants are tried and what dependencies count.
-TOP, SAMPLES, DETERMINANTS, GROUPS, KEYLIKE, STRENGTH, SUPPORT = 10, 5, 25, 100_000, 0.99, 0.95, 5
+TOP, SAMPLES, KEYLIKE, STRENGTH, SUPPORT = 10, 5, 0.99, 0.95, 5
+#: Determinants that share a scan; one with more values than GROUPS, whose rows a map task hardly pre-aggregates, gets its own.
+DETERMINANTS, GROUPS = 25, 100_000
 
 
 def type_of(kind: T.DataType) -> str:
@@ -92,8 +94,12 @@ def top_values(counts: DataFrame, k: int = TOP) -> DataFrame:
 
 def samples(counts: DataFrame, k: int = SAMPLES) -> DataFrame:
     """The k least values of each column, as text: column_name, position, value."""
+    return _least(counts, k).select("column_name", "position", "value")
+
+
+def _least(counts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("column_name").orderBy("value")
-    return counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k).select("column_name", "position", "value")
+    return counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
 def dependencies(df: DataFrame, determinants: list[str], dependents: list[str]) -> DataFrame:
@@ -120,19 +126,23 @@ def dependencies(df: DataFrame, determinants: list[str], dependents: list[str])
     return out.select("determinant", "dependent", (F.col("single") / F.nullif("support", F.lit(0))).alias("strength"), "support")
 
 
-def candidates(columns: dict[str, ColumnProfile]) -> list[str]:
-    """Determinants worth trying: from two to GROUPS values, not nearly unique, the most repeated first."""
-    found = [c for c in columns.values() if 2 <= c.distinct <= GROUPS and c.uniqueness < KEYLIKE and c.type != "unknown"]
-    return [c.name for c in sorted(found, key=lambda c: (c.uniqueness, c.name))[:DETERMINANTS]]
+def candidates(columns: dict[str, ColumnProfile]) -> list[list[str]]:
+    """Determinants worth trying, of two values and more and not nearly unique, in lots that share a scan; the most
+    repeated first. None is left out: one of many values is a lot of its own."""
+    found = sorted((c for c in columns.values() if c.distinct >= 2 and c.uniqueness < KEYLIKE and c.type != "unknown"), key=lambda c: (c.uniqueness, c.name))
+    few = [c.name for c in found if c.distinct <= GROUPS]
+    return [few[k : k + DETERMINANTS] for k in range(0, len(few), DETERMINANTS)] + [[c.name] for c in found if c.distinct > GROUPS]
 
 
 def profile(df: DataFrame) -> Profile:
     """The whole profile; an empty table has columns without values."""
     counts = value_counts(df)
-    # two passes: one for the statistics, one for the value counts, from which all else follows
+    # two passes: one for the statistics, one for the value counts, from which all else follows; as all three
+    # read the same columns of the counts, they share one shuffle
     listed = top_values(counts).select("column_name", F.lit("top").alias("what"), "position", "value", "n")
-    least = samples(counts).select("column_name", F.lit("sample").alias("what"), "position", "value", F.lit(0).cast("long").alias("n"))
-    number = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).select("column_name", F.lit("distinct").alias("what"), F.lit(0).alias("position"), F.lit("").alias("value"), "n")
+    least = _least(counts, SAMPLES).select("column_name", F.lit("sample").alias("what"), "position", "value", "n")
+    each = F.sum(F.when((F.col("n") > 0) & F.col("value").isNotNull(), 1).otherwise(0))
+    number = counts.groupBy("column_name").agg(each.alias("n")).select("column_name", F.lit("distinct").alias("what"), F.lit(0).alias("position"), F.lit("").alias("value"), "n")
     columns = {}
     rows = 0
     for r in statistics(df).collect():
@@ -152,7 +162,9 @@ def profile(df: DataFrame) -> Profile:
             c.distinct = r.n
             c.uniqueness = r.n / max(1, round(rows * (1 - c.null_rate)))
     out = Profile(rows, columns)
-    edges = dependencies(df, candidates(columns), [c.name for c in columns.values() if c.type != "unknown"])
-    found = [Dependency(*r) for r in edges.filter((F.col("support") >= SUPPORT) & (F.col("strength") >= STRENGTH)).collect()]
+    found = []
+    for lot in candidates(columns):
+        edges = dependencies(df, lot, [c.name for c in columns.values() if c.type != "unknown"])
+        found += [Dependency(*r) for r in edges.filter((F.col("support") >= SUPPORT) & (F.col("strength") >= STRENGTH)).collect()]
     out.dependencies = sorted(found, key=lambda d: (-d.strength, -d.support, d.determinant, d.dependent))
     return out

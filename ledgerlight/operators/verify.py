@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.periods import parsed
@@ -11,6 +11,8 @@ from ledgerlight.plans.model import NUMERIC, Check, Completeness, Label, Partiti
 
 #: Shares and numbers of rows from which a rule counts as holding.
 HOLDS, IDENTITY, SIGN, LABEL, SUPPORT, CENT = 0.99, 0.99, 0.9, 0.95, 5, 0.01
+#: A column whose values that go with negative quantities are more than these is no list of kinds of return.
+LISTED = 1000
 
 
 def amount_identity(df: DataFrame, amount: str, quantity: str, rate: str) -> DataFrame:
@@ -77,6 +79,14 @@ def check_time(df: DataFrame, profile: Profile, column: str, order: str | None)
     return Check("event_time_temporal", share >= HOLDS, share, r.n, order)
 
 
+def latest(df: DataFrame, profile: Profile, time: str | None, order: str | None) -> str | None:
+    """The latest time of a table, as text; from the profile unless times are text."""
+    if time is None or order is None:
+        return time and profile.columns[time].max
+    r = df.agg(F.max(parsed(quoted(time), order)).cast("string").alias("t")).collect()[0]
+    return r.t
+
+
 def negative_share(df: DataFrame, quantity: str, columns: list[str], prefix_of: str | None = None) -> DataFrame:
     """Of each value of `columns`, and of each first character of `prefix_of`: column_name, value, n, negative (rows with a negative quantity)."""
     pairs = [F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value")) for c in columns]
@@ -99,12 +109,19 @@ def returns(df: DataFrame, quantity: str | None, key: str | None, flags: list[st
         if (share := r[f"f{k}"]) is not None and share >= HOLDS:
             return Returns("explicit_flag", f, ["1"], share)
     columns = list(dict.fromkeys([*dimensions, *flags]))
-    found = [] if not columns and not key else negative_share(df, quantity, columns, key).filter((F.col("n") >= SUPPORT) & (F.col("negative") >= SIGN * F.col("n"))).collect()
+    if not columns and not key:
+        return Returns("derived_negative_quantity", quantity, [], 0.5)
+    # one row a column: how many values go with negative quantities, and, of few, which
+    shares = negative_share(df, quantity, columns, key).filter((F.col("n") >= SUPPORT) & (F.col("negative") >= SIGN * F.col("n")))
+    w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    few = shares.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= LISTED + 1)
+    found = few.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values"), F.min(F.col("negative") / F.col("n")).alias("share"), F.max_by(F.struct("value", (F.col("negative") / F.col("n")).alias("share")), -F.col("position")).alias("first"))
+    mine = {x.column_name: x for x in found.collect()}
     for c in columns:
-        if mine := sorted((x for x in found if x.column_name == c), key=lambda x: x.value):
-            return Returns("explicit_category", c, [x.value for x in mine], min(x.negative / x.n for x in mine))
-    if heads := sorted((x for x in found if x.column_name == ""), key=lambda x: (-x.n, x.value)):
-        return Returns("derived_key_prefix", key, [heads[0].value], heads[0].negative / heads[0].n)
+        if (x := mine.get(c)) and len(x["values"]) <= LISTED:
+            return Returns("explicit_category", c, x["values"], x.share)
+    if x := mine.get(""):
+        return Returns("derived_key_prefix", key, [x["first"].value], x["first"].share)
     return Returns("derived_negative_quantity", quantity, [], 0.5)
 
 
@@ -126,10 +143,9 @@ def partition(df: DataFrame, profile: Profile, dimensions: list[str], flags: lis
             continue
         for f in flags:
             if (e := profile.strength(d, f)) and e.strength >= HOLDS:
-                rows = flagged_values(df, d, f).collect()
-                facts = [r.value for r in rows if r.fact]
-                if facts and len(facts) < len(rows):
-                    found.append(Partition(d, facts[0] if len(facts) == 1 else None, f))
+                r = flagged_values(df, d, f).agg(F.count(F.lit(1)).alias("all"), F.count_if("fact").alias("facts"), F.min(F.when(F.col("fact"), F.col("value"))).alias("value")).collect()[0]
+                if 0 < r.facts < r["all"]:
+                    found.append(Partition(d, r.value if r.facts == 1 else None, f))
     return min(found, key=lambda p: p.fact_value is None, default=None)
 
 
@@ -152,4 +168,3 @@ def completeness(profile: Profile, flags: list[str], time_columns: list[str]) ->
             if profile.columns[f].distinct > 1 and (e := profile.strength(p, f)) and e.strength >= HOLDS:
                 return Completeness(f, p)
     return None
-

@@ -118,8 +118,10 @@ def bind(model: Model, query: Query) -> Verdict:
     if q.time and (q.time.start or q.time.end or q.time.named_period):
         caveats.append(Caveat("window", f"Only rows of {q.time.named_period or f'{q.time.start or "the start"} up to {q.time.end or "the end"}, which is left out,'} count", True))
     revenue = bool(set(q.measures) & set(REVENUE))
-    if revenue and len(amounts) == 1 and not model.first("additive_quantity"):
-        caveats.append(Caveat("as_reported", f"{amounts[0]} is taken as reported; nothing confirms it", True))
+    if revenue and len(amounts) == 1 and not (model.first("additive_quantity") and model.first("monetary_rate")):
+        checks = (b.checks for b in model.bindings if b.column == amounts[0])
+        if not any(c.name == "stored_amount_identity" and c.passed for found in checks for c in found):
+            caveats.append(Caveat("as_reported", f"{amounts[0]} is taken as reported: without a quantity and a rate it can't be checked, which isn't the same as a failed check", True))
     if "net_revenue" in q.measures and model.returns.kind != "none":
         caveats.append(Caveat("net_of_returns", "Returned lines are subtracted", True))
     plan = BoundPlan(q, list(q.group_by), None)

@@ -53,10 +53,11 @@ def build(df: DataFrame, dataset_id: str = "dataset", claims: list[Claim] | None
         if b.status == "refuted":
             b.confidence = 0.0
 
-    model = Model(dataset_id, p.row_count, {c.name: c.type for c in p.columns.values()}, bindings)
+    model = Model(dataset_id, p.row_count, {c.name: c.type for c in p.columns.values()}, bindings, claims=list(best.values()))
     model.coverage = {c.name: round(1 - c.null_rate, 6) for c in p.columns.values()}
     model.scales = {c.name: c.scale for c in p.columns.values() if c.type == "decimal" and c.scale is not None}
     model.parsers = {c: o for c, o in orders.items() if o != "not_a_date" and model.binding(c).status != "refuted"}
+    model.latest = verify.latest(df, p, time, model.parsers.get(time))
     model.date_notes = {c: DATE_NOTES[o] for c, o in model.parsers.items() if o in DATE_NOTES}
     flags, dimensions = model.in_role("flag"), model.in_role("dimension")
     model.returns = verify.returns(df, quantity, model.first("transaction_key"), flags, dimensions)

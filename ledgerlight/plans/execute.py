@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import periods
@@ -20,8 +20,10 @@ from ledgerlight.plans.verdict import BoundPlan, Caveat, Verdict
 COMPLETE = ("true", "complete", "yes", "t", "y")
 UNITS = {"day": ("days", 1), "week": ("weeks", 1), "month": ("months", 1), "quarter": ("months", 3), "year": ("years", 1)}
 PAIRS, RANKED = 20, 10
-#: A base under this share of all bases is called small.
-SMALL_BASE = 0.01
+#: A base under this share of all bases is called small; so many groups with a poor base are named.
+SMALL_BASE, NAMED = 0.01, 3
+#: Rows of an answer that are gathered; of more, the answer says so, and `Answer.frame` has all.
+PAGE = 10_000
 
 
 class NeedsClarification(Exception):
@@ -30,6 +32,10 @@ class NeedsClarification(Exception):
         self.options = options
 
 
+class ClaimError(Exception):
+    """An answer would tell of a restriction that its plan doesn't make."""
+
+
 @dataclass
 class Answer:
     kind: str
@@ -41,6 +47,11 @@ class Answer:
     caveats: list[Caveat] = field(default_factory=list)
     assumptions: list[Caveat] = field(default_factory=list)
     plan: str = ""
+    frame: DataFrame | None = None
+
+    def to_dict(self) -> dict[str, Any]:
+        out = {k: v for k, v in vars(self).items() if k != "frame"}
+        return out | {k: [dict(vars(c)) for c in out[k]] for k in ("caveats", "assumptions")}
 
 
 def event_time(model: Model) -> Column:
@@ -68,8 +79,8 @@ def window(df: DataFrame, model: Model, plan: BoundPlan) -> list[tuple[str, Colu
         out.append((f"time before {w.end}", t < _day(w.end)))
     if w.last_n:
         unit, times = UNITS[w.grain or "year"]
-        # counts back from the table's latest time, whatever else is asked for
-        latest = df.agg(F.max(t).alias("t")).collect()[0].t
+        # counts back from the table's latest time, whatever else is asked for; the model knows it
+        latest = model.latest or df.agg(F.max(t).alias("t")).collect()[0].t
         if latest is not None:
             out.append((f"last {w.last_n} {w.grain or 'year'}", t >= _day(latest) - F.expr(f"interval {w.last_n * times} {unit}")))
     return out
@@ -94,8 +105,8 @@ def predicates(df: DataFrame, model: Model, plan: BoundPlan) -> list[tuple[str,
     return out + window(df, model, plan)
 
 
-def needed(model: Model, plan: BoundPlan) -> set[str]:
-    """The columns that a plan reads: a view need not join what none of them comes from."""
+def needed(model: Model, plan: BoundPlan, disclosed: bool = False) -> set[str]:
+    """The columns that a plan reads, and with `disclosed` what is told beside it: a view need not join what none of them comes from."""
     q = plan.query
     out = {*plan.group_by, *(f.column for f in q.filters), *(f.column for f in q.numeric_filters), *(a.column for a in q.aggregations if a.column)}
     for name in q.measures:
@@ -108,7 +119,7 @@ def needed(model: Model, plan: BoundPlan) -> set[str]:
         out.add(model.first("event_time"))
     if q.basket:
         out |= {model.first("transaction_key"), model.entity("product")}
-    if model.partition and (q.basket or plan.partition_values is not None or set(q.measures) & set(REVENUE)):
+    if model.partition and (q.basket or plan.partition_values is not None or disclosed and set(q.measures) & set(REVENUE)):
         out.add(model.partition.column)
     if model.returns.column and (q.basket or "gross_revenue" in q.measures):
         out.add(model.returns.column)
@@ -189,20 +200,34 @@ def periods_of(df: DataFrame, model: Model, plan: BoundPlan) -> list[str]:
 
 
 def resolved(df: DataFrame, model: Model, plan: BoundPlan) -> tuple[str, str]:
+    """The two periods: those named, else the last two that the rows fall into, which takes a look at all of them."""
     c = plan.query.period_comparison
-    if c.period_a and c.period_b and grain_of(c.period_a) == c.grain == grain_of(c.period_b):
-        there = periods_of(df, model, plan)
-    else:
-        there = periods_of(df, model, plan)
-        if len(there) < 2:
-            raise NeedsClarification("There aren't two periods to compare", there)
-    a, b = c.period_a or (there[-2] if len(there) > 1 else None), c.period_b or there[-1]
+    if named(plan):
+        return c.period_a, c.period_b
+    there = periods_of(df, model, plan)
+    if len(there) < 2:
+        raise NeedsClarification("There aren't two periods to compare", there)
+    a, b = c.period_a or there[-2], c.period_b or there[-1]
     for p in (a, b):
         if p not in there:
             raise NeedsClarification(f"There is no period {p}", there)
     return a, b
 
 
+def named(plan: BoundPlan) -> bool:
+    """Whether both periods are named, in the grain asked for: then they are two ranges that reach the scan."""
+    c = plan.query.period_comparison
+    return bool(c.period_a and c.period_b) and grain_of(c.period_a) == c.grain == grain_of(c.period_b)
+
+
+def without_rows(df: DataFrame, model: Model, plan: BoundPlan, a: str, b: str) -> list[str]:
+    """Which of two named periods no row falls into."""
+    t = event_time(model)
+    inside = [(t >= _day(bounds(p)[0])) & (t < _day(bounds(p)[1])) for p in (a, b)]
+    r = scoped(df, predicates(df, model, plan)).filter(inside[0] | inside[1]).agg(*[F.max(x).alias(f"p{k}") for k, x in enumerate(inside)]).collect()[0]
+    return [p for k, p in enumerate((a, b)) if not r[f"p{k}"]]
+
+
 def both_periods(df: DataFrame, model: Model, plan: BoundPlan, a: str, b: str) -> DataFrame:
     """Each group's measure in the two periods."""
     t = event_time(model)
@@ -244,10 +269,34 @@ def non_facts(df: DataFrame, model: Model, plan: BoundPlan) -> DataFrame | None:
 
 
 def base_anomalies(both: DataFrame) -> DataFrame:
-    """Groups whose growth has no sound base: non_positive (not ranked) and small (under SMALL_BASE of all positive bases)."""
-    total = F.broadcast(both.agg(F.sum(F.when(F.col("period_a_value") > 0, F.col("period_a_value")).cast("decimal(38,6)")).cast("double").alias("__all")))
-    kind = F.when(F.col("period_a_value") <= 0, "non_positive").when(F.col("period_a_value") < SMALL_BASE * F.col("__all"), "small")
-    return both.crossJoin(total).withColumn("anomaly", kind).filter("anomaly is not null").drop("__all")
+    """Groups with rows in both periods whose growth has no sound base: non_positive (not ranked) and small (under SMALL_BASE of all bases)."""
+    there = both.filter("period_a_value is not null and period_b_value is not null")
+    total = F.broadcast(there.agg(F.sum(F.col("period_a_value").cast("decimal(38,6)")).cast("double").alias("__all")))
+    kind = F.when(F.col("period_a_value") <= 0, "non_positive").when((F.col("__all") > 0) & (F.col("period_a_value") < SMALL_BASE * F.col("__all")), "small")
+    return there.crossJoin(total).withColumn("anomaly", kind).withColumn("base_share", F.when(F.col("__all") > 0, F.col("period_a_value") / F.col("__all"))).filter("anomaly is not null").drop("__all")
+
+
+def told_anomalies(both: DataFrame, groups: list[str], period: str) -> list[Caveat]:
+    """What is told of them: how many there are, and the first few by base, with name and figures."""
+    label = F.concat_ws("/", *[quoted(g).cast("string") for g in groups]) if groups else F.lit("all rows")
+    w = Window.partitionBy("anomaly")
+    ranked = base_anomalies(both).select("anomaly", "period_a_value", "base_share", label.alias("label")).withColumn("position", F.row_number().over(w.orderBy("period_a_value", "label")))
+    first = F.when(F.col("position") <= NAMED, F.struct("position", "label", "period_a_value", "base_share"))
+    out = []
+    for r in ranked.groupBy("anomaly").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(first)).alias("first")).orderBy("anomaly").collect():
+        names = ", ".join(f"{x.label} {x.period_a_value:,.2f}" + (f" ({x.base_share:.3%} of {period})" if r.anomaly == "small" else "") for x in r["first"])
+        more = f", +{r.n - len(r['first'])} more" if r.n > len(r["first"]) else ""
+        why = "growth over it says nothing, so they aren't ranked" if r.anomaly == "non_positive" else "growth over it is easily large"
+        out.append(Caveat("base", f"{r.n} groups have a {r.anomaly.replace('_', '-')} base in {period}: {names}{more}; {why}"))
+    return out
+
+
+def unbacked(model: Model, plan: BoundPlan, caveats: list[Caveat], out: DataFrame) -> list[str]:
+    """Restrictions that are told but that no filter of the DataFrame makes."""
+    filters = [line for line in out._jdf.queryExecution().analyzed().toString().split("\n") if "Filter " in line]
+    wanted = {"window": model.first("event_time"), "complete_periods": model.completeness and model.completeness.flag, "partition": model.partition and model.partition.column}
+    told = {c.kind for c in caveats} | ({"window"} if plan.query.time and plan.query.time.last_n and model.latest else set())
+    return sorted(k for k, column in wanted.items() if k in told and not any(f"{column}#" in line for line in filters))
 
 
 def window_facts(df: DataFrame, model: Model, plan: BoundPlan) -> DataFrame:
@@ -264,8 +313,18 @@ def execute(df: DataFrame, model: Model, verdict: Verdict) -> Answer:
     plan, caveats = verdict.plan, list(verdict.caveats)
     q = plan.query
     scope = predicates(df, model, plan)
+    compared = resolved(df, model, plan) if q.period_comparison else None
+    if compared:
+        q.period_comparison.period_a, q.period_comparison.period_b = compared
     out = compiled(df, model, plan)
-    rows = [r.asDict() for r in out.collect()]
+    if false := unbacked(model, plan, caveats, out):
+        raise ClaimError("told but not done: " + ", ".join(false))
+    rows = [r.asDict() for r in out.limit(PAGE + 1).collect()]
+    if len(rows) > PAGE:
+        rows = rows[:PAGE]
+        caveats.append(Caveat("page", f"There are more rows; these are the first {PAGE:,}"))
+    if compared and not (any(r["period_a_value"] is not None for r in rows) and any(r["period_b_value"] is not None for r in rows)) and (gone := without_rows(df, model, plan, *compared)):
+        raise NeedsClarification(f"There is no period {gone[0]}", periods_of(df, model, plan))
     if not plan.group_by and not plan.time_grain and scope and not (q.basket or q.period_comparison) and set(q.measures) | {a.func for a in q.aggregations} - {"count"} and scoped(df, scope).limit(1).isEmpty():
         caveats.append(Caveat("empty", "No row matches: this is an empty result, not a zero"))
     for c in plan.group_by:
@@ -281,15 +340,14 @@ def execute(df: DataFrame, model: Model, verdict: Verdict) -> Answer:
     if q.basket:
         caveats.append(Caveat("basket_scope", "Only facts count, returned lines don't", True))
     if q.period_comparison:
-        odd = base_anomalies(both_periods(df, model, plan, *resolved(df, model, plan))).groupBy("anomaly").count().collect()
-        caveats += [Caveat("base", f"{r['count']} groups have a {r.anomaly.replace('_', '-')} base") for r in odd]
+        caveats += told_anomalies(both_periods(df, model, plan, *compared), plan.group_by, compared[0])
         if not model.completeness:
             caveats.append(Caveat("completeness", "Whether the periods are complete isn't known"))
     formula = "; ".join(m.formula for m in model.measures if m.name in q.measures) or ", ".join(a.name for a in q.aggregations)
     told = [w for w, _ in scope]
     kind = "answer_with_caveats" if any(not c.assumption for c in caveats) else "answer"
     text = f"{formula or 'rows'}" + (f" by {', '.join(plan.group_by)}" if plan.group_by else "") + (f", where {'; '.join(told)}" if told else "")
-    return Answer(kind, rows, out.columns, formula, text, told, [c for c in caveats if not c.assumption], [c for c in caveats if c.assumption], out._jdf.queryExecution().simpleString())
+    return Answer(kind, rows, out.columns, formula, text, told, [c for c in caveats if not c.assumption], [c for c in caveats if c.assumption], out._jdf.queryExecution().simpleString(), out)
 
 
 def ask(df: DataFrame, model: Model, query: Query) -> Answer | Verdict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, ClassVar
 
 #: The roles a column can have, and the entities of a key.
 ROLES = ("event_time", "transaction_key", "entity_key", "additive_quantity", "monetary_rate", "monetary_amount", "discount", "dimension", "flag", "description", "ignore")
@@ -13,7 +13,7 @@ ENTITIES = ("customer", "product", "location", "other")
 #: Roles whose values may be added up over any rows.
 ADDITIVE = ("additive_quantity", "monetary_amount", "discount")
 NUMERIC = ("integer", "decimal")
-VERSION = 3
+VERSION = 4
 
 
 @dataclass
@@ -131,7 +131,11 @@ class Model:
     date_notes: dict[str, str] = field(default_factory=dict)
     parsers: dict[str, str] = field(default_factory=dict)  # text column -> order of its dates
     scales: dict[str, int] = field(default_factory=dict)  # decimals of a column, where few
+    latest: str | None = None  # the latest event time, from which rolling windows count back
+    claims: list[Claim] = field(default_factory=list)  # what the model was built from
     version: int = VERSION
+    #: fields that an earlier format doesn't have; they must be derived again
+    lacking: ClassVar[set[str]] = frozenset()
 
     def in_role(self, role: str) -> list[str]:
         """Columns in a role, the surest first; refuted ones are left out."""
@@ -169,6 +173,7 @@ class Model:
         raw: dict[str, Any] = json.loads(text)
         if raw.get("version", 1) > VERSION:
             raise ValueError(f"the model is of version {raw['version']}, later than {VERSION}")
+        lacking = {f.name for f in dataclasses.fields(cls)} - raw.keys()
         raw = {k: v for k, v in raw.items() if k in {f.name for f in dataclasses.fields(cls)}} | {"version": VERSION}
         raw["bindings"] = [Binding(**{**b, "checks": [Check(**c) for c in b.get("checks", [])]}) for b in raw["bindings"]]
         for name, kind in (("returns", Returns), ("partition", Partition), ("completeness", Completeness)):
@@ -179,4 +184,8 @@ class Model:
         raw["labels"] = [Label(**x) for x in raw.get("labels", [])]
         raw["measures"] = [Measure(**x) for x in raw.get("measures", [])]
         raw["values"] = {k: Values(**v) for k, v in raw.get("values", {}).items()}
-        return cls(**raw)
+        # an earlier format kept no claims of its own: its bindings hold them
+        raw["claims"] = [Claim(**c) for c in raw["claims"]] if "claims" in raw else [Claim(b.column, b.role, b.entity, b.confidence, [], b.source) for b in raw["bindings"]]
+        model = cls(**raw)
+        model.lacking = lacking
+        return model

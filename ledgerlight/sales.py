@@ -15,7 +15,7 @@ from ledgerlight.plans.binder import bind
 from ledgerlight.plans.build import build
 from ledgerlight.plans.model import Claim, Model
 from ledgerlight.plans.query import Query
-from ledgerlight.sources.tables import table
+from ledgerlight.sources.tables import state, table
 
 #: A dimension table is broadcast if it has so many rows at most; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -29,13 +29,15 @@ CLAIMS = [
 EVENT_CLAIMS = [Claim("ts", "event_time"), Claim("user_id", "entity_key", "customer"), Claim("event_type", "dimension"), Claim("event_id", "ignore"), Claim("value", "ignore"), Claim("props", "ignore")]
 
 
+#: The tables that a sale's columns come from.
+TABLES = ("lineitem", "orders", "part", "customer", "nation", "region")
 _facts: dict[tuple, dict] = {}
 
 
 def _facts_of(spark: SparkSession, folder: str) -> dict:
-    """Facts of a folder's tables, found once a session: the latest quarter, which dimensions are small, and
+    """Facts of a folder's tables as they are, found once a session: the latest quarter, which dimensions are small, and
     which foreign keys are sound (every value there, once), so that a join which only adds columns can be left out."""
-    key = spark.sparkContext.applicationId, folder
+    key = spark.sparkContext.applicationId, folder, state(spark, folder, *TABLES)
     if key not in _facts:
         t = {n: table(spark, folder, n) for n in ("orders", "lineitem", "customer", "part")}
         latest = t["orders"].agg(periods.label(F.max("o_orderdate"), "quarter").alias("q")).collect()[0].q
@@ -94,8 +96,8 @@ _models: dict[tuple, Model] = {}
 
 
 def model_of(spark: SparkSession, folder: str, name: str = "sales") -> Model:
-    """The frozen model of a folder's sales or events, built once a session."""
-    key = spark.sparkContext.applicationId, folder, name
+    """The frozen model of a folder's sales or events as they are, built once a session."""
+    key = spark.sparkContext.applicationId, folder, name, state(spark, folder, *(TABLES if name == "sales" else ("events",)))
     if key not in _models:
         df, claims = (sales(spark, folder), CLAIMS) if name == "sales" else (table(spark, folder, "events"), EVENT_CLAIMS)
         # profiling reads the table some twenty times: the joins are done once, and redone where an executor is lost
@@ -247,7 +249,7 @@ def q40_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def _bound(spark: SparkSession, folder: str, raw: dict) -> tuple:
     model = model_of(spark, folder)
     plan = bind(model, Query.of(raw)).plan
-    return sales(spark, folder, execute.needed(model, plan)), model, plan
+    return sales(spark, folder, execute.needed(model, plan, disclosed=True)), model, plan
 
 
 def q41_non_fact_disclosure(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,7 +302,7 @@ SQL |= {
     "q39_partition_values": _sql("SELECT line_type AS value, MAX(is_product_line) = 1 AS fact FROM sales GROUP BY 1"),
     "q40_coverage": _per_column(["customer_id", "segment", "amount"], "SELECT '{c}' AS column_name, ROUND(CAST(COUNT({c}) AS DOUBLE) / COUNT(*), 6) AS coverage FROM sales", SALES_SQL),
     "q41_non_fact_disclosure": _sql(f"SELECT * FROM (SELECT line_type AS value, {NET} AS amount FROM sales WHERE line_type <> 'STANDARD' GROUP BY 1) WHERE amount <> 0"),
-    "q42_growth_base_anomalies": _sql("SELECT *, CASE WHEN period_a_value <= 0 THEN 'non_positive' ELSE 'small' END AS anomaly FROM both_ WHERE period_a_value <= 0 OR period_a_value < 0.01 * (SELECT CAST(SUM(CAST(period_a_value AS DECIMAL(38,6))) AS DOUBLE) FROM both_ WHERE period_a_value > 0)", _BOTH.replace("nation", "part_id").replace("WHERE is_complete_quarter", "WHERE line_type = 'STANDARD' AND is_complete_quarter").format(label=_label("quarter"), a="1998-Q1", b="1998-Q2", net=NET)),
+    "q42_growth_base_anomalies": _sql("SELECT b.*, CASE WHEN period_a_value <= 0 THEN 'non_positive' ELSE 'small' END AS anomaly, CASE WHEN s > 0 THEN period_a_value / s END AS base_share FROM both_ b, (SELECT CAST(SUM(CAST(period_a_value AS DECIMAL(38,6))) AS DOUBLE) AS s FROM both_ WHERE period_b_value IS NOT NULL) WHERE period_b_value IS NOT NULL AND (period_a_value <= 0 OR s > 0 AND period_a_value < 0.01 * s)", _BOTH.replace("nation", "part_id").replace("WHERE is_complete_quarter", "WHERE line_type = 'STANDARD' AND is_complete_quarter").format(label=_label("quarter"), a="1998-Q1", b="1998-Q2", net=NET)),
     "q43_window_disclosure": _sql("SELECT CAST(MIN(order_date) AS DATE) AS first_day, CAST(MAX(order_date) AS DATE) AS last_day, CAST(MAX(order_date) - INTERVAL '10 years' AS DATE) AS window_start, CAST(MAX(order_date) - INTERVAL '10 years' AS DATE) <= CAST(MIN(order_date) AS DATE) AS whole FROM sales"),
     "q44_verdict_matrix": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{v}')" for c, _, v in MATRIX) + ") AS t(case_name, verdict)",
 }

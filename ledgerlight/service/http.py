@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 import hashlib
 import json
 import tempfile
@@ -131,7 +130,7 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
                     tell("executing")
                     data = store.get(parts[1])
                     out = ask(data.rows, data.model, query)
-                    return {"query": query.to_dict(), "verdict": out.kind} | ({"reason": out.reason, "options": out.options} if isinstance(out, Verdict) else {"answer": dataclasses.asdict(out)})
+                    return {"query": query.to_dict(), "verdict": out.kind} | ({"reason": out.reason, "options": out.options} if isinstance(out, Verdict) else {"answer": out.to_dict()})
 
                 return self._send(202, jobs.submit(parts[1], answer).view())
             return self._fail(404, "not_found", "There is nothing here")

@@ -74,16 +74,16 @@ class Store:
         return Dataset(dataset, version, rows, model)
 
     def get(self, dataset: str) -> Dataset:
-        """The latest version. A model of an earlier format is read as the present one; one that doesn't
-        belong to the rows is built anew."""
+        """The latest version. A model of an earlier format, or one that doesn't belong to the rows, is derived again
+        from the claims that it was built from, so that declared and provided roles stay, and written in its place."""
         versions = self.versions(dataset)
         if not versions:
             raise KeyError(dataset)
         folder = f"{self.root}/{dataset}/v={versions[-1]}"
         rows = self.spark.read.parquet(f"{folder}/rows")
         model = Model.from_json(self._read(f"{folder}/model.json"))
-        if set(model.types) != set(rows.columns) or model.row_count != rows.count():
-            model = build(rows, dataset)
+        if model.lacking or set(model.types) != set(rows.columns) or model.row_count != rows.count():
+            model = build(rows, dataset, model.claims)
             self._write(f"{folder}/model.json", model.to_json())
         return Dataset(dataset, versions[-1], rows, model)
 
