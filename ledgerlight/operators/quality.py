@@ -116,7 +116,7 @@ class ValueCounts:
 
 
 #: Ranges of a doubling of a number, by which a column's values are counted first for their median.
-_RANGES = 256
+_RANGES = 16
 #: Rows up to which the ranges that hold a middle value (about 60 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_RANGES = 200_000
 
