@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import distinct, frequent, garbled, leaks, tokens, toxic
-from ledgerlight.sources.tables import table
+from ledgerlight.sources.tables import scratch, state, table
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,20 +42,25 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), items).select("doc_id", "item_id").distinct()
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return toxic.scored(documents, toxic.fit(toxic.labelled(documents, table(spark, folder, "doc_labels"))))
+def _field(spark: SparkSession, folder: str) -> toxic.Field:
+    """The field fitted on a folder's ratings, once for all queries while these files stay as they are."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "doc_labels")
+    return toxic.saved(spark, f"{scratch(spark)}/field-{state(spark, folder, 'documents', 'doc_labels')}.npz", lambda: toxic.fit(toxic.labelled(documents, labels)))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return toxic.kinds(_scores(spark, folder)).distinct()
+    return toxic.kinds(toxic.scored(table(spark, folder, "documents"), _field(spark, folder))).distinct()
 
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return toxic.rates(_scores(spark, folder))
+    return toxic.rates(toxic.scored(table(spark, folder, "documents"), _field(spark, folder)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.offending(table(spark, folder, "documents"), _field(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {
     "p2_found": """

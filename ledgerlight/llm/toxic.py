@@ -1,30 +1,38 @@
 """Abusive, hateful and sexual passages, tagged by a linear-chain conditional random field.
 
 Labels are given for whole documents only, partly wrong and with one category even where there are
-several. So the words are labelled first: word sequences that come in several documents of one
-category and hardly in clean ones mark their sentence. On these sentences the field is trained; its
-forward-backward marginals then give each word's chance of each category, and a document's score is
-that of its worst stretch of words.
+several. So the words are labelled first: sentences whose word sequences come in other toxic pages
+beyond what sound pages show by chance are marked. On these sentences the field is trained; its
+forward-backward marginals then give each word's chance of each category. A document's score is that
+of its worst stretch of words, and the words that make it are given by their places in the text.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import re
 import unicodedata
+import warnings
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CATEGORIES = ("abuse", "hate", "sexual")
-#: Labelled documents that the field is fitted on at most: so many toxic ones and as many others, by hash of doc_id.
+#: Labelled documents that the field is fitted on at most: so many toxic ones and four times as many others, by hash of doc_id.
 LABELLED = 1500
+#: Sound sentences that the field is fitted on, at most, as multiples of LABELLED: the nearest to the marked ones, and others.
+NEAR, FAR = 4, 4
+#: A sentence marked by chance does as much harm as so many rightly marked ones do good.
+HARM = 4.0
+#: Most that one word sequence can say, and from where on it counts as evidence (in nats).
+CAP, SAYS = 8.0, 1.0
 #: Characters of the longest text that is taken for the fit (scoring has no such bound).
 FIT_TEXT = 50_000
 #: Words of a stretch whose mean chance counts, and the score from which a document holds a category.
@@ -45,55 +53,86 @@ _STARRED = re.compile(r"[^\W\d_]+\*+[^\W\d_]*")
 #: Signs that one of the patterns has something to do; they are quick to look for.
 _HAS_MIXED, _HAS_SPACED, _TRIPLES = re.compile(r"[a-z][Ͱ-ӿ]|[Ͱ-ӿ][a-z]"), re.compile(r"[.\-_*][^\W\d_][.\-_*]"), [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
 _LONG = re.compile(r"([^\W\d_])\1\1+")
+_ANY, _CLUSTER = re.compile("(?s)."), re.compile("(?s).[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u3099\u309a]*")
 _TOKEN = re.compile(r"[^\W_]+(?:['’*][^\W_]+)*|[.!?…\n。:;]")
 _END = frozenset(".!?…\n。:;")
 
 
+def _letters(m: re.Match) -> str:
+    text, (a, b) = m.string, m.span()
+    before, after = a > 0 and text[a - 1].isalpha(), b < len(text) and text[b].isalpha()
+    return m[0].translate(_LEET) if after and (before or m[0] in ("@", "$")) else m[0]
+
+
+class _Traced:
+    """A text that is rewritten, with the places in the original that each character stands for."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None):
+        self.text, self.spans = text, spans if spans is not None else [(k, k + 1) for k in range(len(text))]
+
+    def sub(self, pattern: re.Pattern, put: str | Callable[[re.Match], str]) -> _Traced:
+        parts, spans, at = [], [], 0
+        for m in pattern.finditer(self.text):
+            a, b = m.span()
+            new = m.expand(put) if isinstance(put, str) else put(m)
+            parts += [self.text[at:a], new]
+            spans += self.spans[at:a]
+            # of another length, each new character stands for all that was replaced
+            spans += self.spans[a:b] if len(new) == b - a else [(self.spans[a][0], self.spans[b - 1][1])] * len(new)
+            at = b
+        return _Traced("".join(parts) + self.text[at:], spans + self.spans[at:])
+
+
+def _plain(text: str | _Traced) -> str:
+    return text if isinstance(text, str) else text.text
+
+
+def _undone(text: str | _Traced) -> str | _Traced:
+    """A text in small letters with its disguises undone: invisible characters, letters of other scripts, digits and
+    signs for letters, letters set apart or drawn out. Starred words become `xstarx`."""
+
+    def sub(pattern: re.Pattern, put: str | Callable[[re.Match], str]) -> str | _Traced:
+        return pattern.sub(put, text) if isinstance(text, str) else text.sub(pattern, put)
+
+    if not _plain(text).isascii():
+        text = unicodedata.normalize("NFKC", text) if isinstance(text, str) else text.sub(_CLUSTER, lambda m: unicodedata.normalize("NFKC", m[0]))
+        text = sub(_INVISIBLE, "")
+    text = text.lower() if isinstance(text, str) else text.sub(_ANY, lambda m: m[0].lower())
+    if not _plain(text).isascii() and _HAS_MIXED.search(_plain(text)):
+        text = sub(_MIXED, lambda m: m[0].translate(_LOOKALIKES))
+    if _HAS_SPACED.search(_plain(text)):
+        text = sub(_SPACED, lambda m: re.sub(r"[.\-_*]", "", m[0]))
+    text = sub(_SIGNS, _letters)
+    if "*" in _plain(text):
+        text = sub(_STARRED, " xstarx ")
+    if any(t in _plain(text) for t in _TRIPLES):
+        text = sub(_LONG, r"\1")
+    return text
+
+
 def words(text: str) -> list[list[str]]:
-    """Sentences of a text as lists of words, disguises undone: invisible characters, letters of other
-    scripts, digits and signs for letters, letters set apart or drawn out. Starred words become `*`."""
-    if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    if not text.isascii() and _HAS_MIXED.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), text)
-    if _HAS_SPACED.search(text):
-        text = _SPACED.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), text)
-
-    def letters(m: re.Match) -> str:
-        a, b = m.span()
-        before, after = a > 0 and text[a - 1].isalpha(), b < len(text) and text[b].isalpha()
-        return m[0].translate(_LEET) if after and (before or m[0] in ("@", "$")) else m[0]
-
-    text = _SIGNS.sub(letters, text)
-    if "*" in text:
-        text = _STARRED.sub(" xstarx ", text)
-    if any(t in text for t in _TRIPLES):
-        text = _LONG.sub(r"\1", text)
-    out: list[list[str]] = [[]]
-    for t in _TOKEN.findall(text):
+    """Sentences of a text as lists of words, disguises undone; digits become `9`."""
+    return [[w for w, _, _ in s] for s in placed(_undone(text))]
+
+
+def placed(text: str | _Traced) -> list[list[tuple[str, int, int]]]:
+    """The same with the places of each word in the original (of a text that isn't traced, in itself)."""
+    out: list[list[tuple[str, int, int]]] = [[]]
+    for m in _TOKEN.finditer(_plain(text)):
+        t = m[0]
         if t in _END:
             if out[-1]:
                 out.append([])
-        elif len(out[-1]) >= SENTENCE:
-            out.append([t])
-        else:
-            out[-1].append("9" if t.isdigit() else t)
+            continue
+        if len(out[-1]) >= SENTENCE:
+            out.append([])
+        a, b = m.span()
+        if not isinstance(text, str):
+            a, b = min(x for x, _ in text.spans[a:b]), max(x for _, x in text.spans[a:b])
+        out[-1].append(("9" if t.isdigit() else t, a, b))
     return out if out[-1] else out[:-1]
 
 
-def _grams(sentence: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(sentence[k : k + n]) for n in (2, 3) for k in range(len(sentence) - n + 1)}
-
-
-def _tail(hits: int, of: int, rate: float) -> float:
-    """Chance of at least `hits` of `of` at a rate."""
-    if of <= 200:
-        return sum(math.comb(of, k) * rate**k * (1 - rate) ** (of - k) for k in range(hits, of + 1))
-    share = min(hits / of, 1 - 1e-12)
-    return math.exp(-of * (share * math.log(share / rate) + (1 - share) * math.log((1 - share) / (1 - rate)))) if share > rate else 1.0  # Chernoff's bound
-
-
 def copies(documents: list[list[list[str]]], bands: int = 8, width: int = 3) -> list[int]:
     """A number for each document, the same for copies of a page: documents that share most sentences (of three words or more)."""
     group: dict[int, int] = {}
@@ -119,59 +158,111 @@ def copies(documents: list[list[list[str]]], bands: int = 8, width: int = 3) ->
     return [root(k) for k in range(len(documents))]
 
 
-Mark = tuple[str, int, int]
+#: Category, first and end of a sentence's marked words; false for a doubtful sentence, null for others.
+Mark = tuple[str, int, int] | bool | None
+
+
+def _threshold(hits: list[float], chance: list[float], weight: float) -> float:
+    """The least score from which on sentences are marked: where most are gained, those that sound pages show by chance counted against them."""
+    best, theta, k = 0.0, math.inf, 0
+    hits, chance = sorted(hits, reverse=True), sorted(chance, reverse=True)
+    for n, score in enumerate(hits, 1):
+        if score <= 0:
+            break
+        while k < len(chance) and chance[k] >= score:
+            k += 1
+        if (n == len(hits) or hits[n] < score) and n - weight * k > best:
+            best, theta = n - weight * k, score
+    return theta
 
 
-def marked(documents: list[tuple[list[list[str]], str | None]]) -> list[list[Mark | None]]:
-    """The marked words of each sentence of labelled documents (sentences, category or null): category, first and end.
+def marked(documents: list[tuple[list[list[str]], str | None]]) -> list[list[Mark]]:
+    """The marked words of each sentence of labelled documents (sentences, category or null).
 
-    A sequence of two or three words speaks for a category by the pages in which it comes: more of
-    them, beyond chance, in toxic documents than documents are toxic. Copies of a page count as one. A
-    sentence is marked from its first such sequence to its last, with their category, counted anew from
-    documents that hold one category only.
+    A sequence of one to three words speaks for or against by the other pages that hold it (a log likelihood
+    ratio of their share of toxic ones and the share among all pages); copies of a page count as one. A word has the best
+    of the sequences it lies in, a sentence the mean of its words. Sentences of sound pages, judged in the same way, show
+    what scores come by chance, and so from which score on sentences of toxic pages are marked, whatever their number.
+    Sentences of sound pages that reach it are doubtful: some ratings are wrong. Marks have the category for which
+    their sequences speak, counted anew from documents that hold one category only.
     """
-    bad = sum(1 for _, c in documents if c)
-    rate = max(bad, 1) / max(len(documents), 1)
-    within: dict[tuple, Counter] = defaultdict(Counter)
-    seen: set[tuple] = set()
-    for page, (sentences, category) in zip(copies([d for d, _ in documents]), documents, strict=True):
-        for g in {g for s in sentences for g in _grams(s)}:
-            if (h := (page, g)) not in seen:
-                seen.add(h)
-                within[g][category] += 1
-
-    tested = [g for g, n in within.items() if n.total() >= 3]
-    least = 1 / max(len(tested), 1)
-    strong = set()
-    for g in tested:
-        n = within[g].total()
-        hits = n - within[g][None]
-        if hits >= 0.7 * n and _tail(hits, n, rate) <= least:
-            strong.add(g)
-    kinds = {g: Counter({c: within[g][c] for c in CATEGORIES}) for g in strong}
-    labels: list[list[Mark | None]] = []
+    pages = copies([d for d, _ in documents])
+    category: dict[int, str | None] = {}
+    for page, (_, c) in zip(pages, documents, strict=True):
+        category[page] = category.get(page) or c
+    rate = min(max(sum(1 for c in category.values() if c) / max(len(category), 1), 1e-3), 1 - 1e-3)
+    number: dict[tuple[str, ...], int] = {}
+    grams: dict[tuple[str, ...], list[tuple[int, int, int]]] = {}
+    held: defaultdict[int, set[int]] = defaultdict(set)
+    for page, (sentences, _) in zip(pages, documents, strict=True):
+        for s in map(tuple, sentences):
+            if s not in grams:
+                grams[s] = [(k, k + n, number.setdefault(s[k : k + n], len(number))) for n in (1, 2, 3) for k in range(len(s) - n + 1)]
+            held[page].update(g for _, _, g in grams[s])
+    bad, sound = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    kinds: dict[int, Counter] = defaultdict(Counter)
+    for page, mine in held.items():
+        (bad if category[page] else sound)[list(mine)] += 1
+        for g in mine if category[page] else ():
+            kinds[g][category[page]] += 1
+    bad_, sound_ = bad.tolist(), sound.tolist()
+    says: dict[tuple[int, int], float] = {}
+
+    def ratio(t: int, c: int) -> float:
+        if (known := says.get((t, c))) is None:
+            share = (t + 0.5) / (t + c + 1)
+            x = t * math.log(share / rate) + c * math.log((1 - share) / (1 - rate))
+            known = says[t, c] = min(x, CAP) if share > rate else -min(x, CAP)
+        return known
+
+    def judged(s: tuple[str, ...], own: int) -> tuple[float, tuple[int, int] | None, list[int]]:
+        """(score, first and end of the words that speak for it, the sequences of two and three words that do), without the own page."""
+        word, strong = [-math.inf] * len(s), []
+        for a, b, g in grams[s]:
+            t, c = bad_[g] - own, sound_[g] - 1 + own
+            if t + c:
+                x = ratio(t, c)
+                if x > SAYS and b - a > 1:
+                    strong.append(g)
+                for k in range(a, b):
+                    word[k] = max(word[k], x)
+        word = [0.0 if x == -math.inf else x for x in word]
+        on = [k for k, x in enumerate(word) if x > SAYS]
+        return (sum(word) / len(word), (on[0], on[-1] + 1), strong) if on and len(s) > 1 else (0.0, None, [])
+
+    known: dict[tuple, tuple] = {}
+    scores: tuple[dict, dict] = {}, {}
+    for page, (sentences, _) in zip(pages, documents, strict=True):
+        own = int(category[page] is not None)
+        for s in map(tuple, sentences):
+            if (s, own) not in known:
+                known[s, own] = judged(s, own)
+            scores[own][page, s] = known[s, own][0]
+    theta = _threshold(list(scores[1].values()), list(scores[0].values()), HARM * len(scores[1]) / max(len(scores[0]), 1))
+    labels: list[list[Mark]] = []
     for _ in range(3):
         labels, again = [], defaultdict(Counter)
-        for sentences, category in documents:
-            mine: list[Mark | None] = []
-            for s in sentences:
-                votes: Counter = Counter()
-                hit = [(k, k + n) for n in (2, 3) for k in range(len(s) - n + 1) if tuple(s[k : k + n]) in strong]
-                for a, b in hit:
-                    g = tuple(s[a:b])
-                    total = sum(kinds[g].values()) or 1
-                    for c, n in kinds[g].items():
-                        votes[c] += n / total
-                mine.append((max(CATEGORIES, key=lambda c: votes[c]), min(a for a, _ in hit), max(b for _, b in hit)) if len(hit) >= 2 else None)
-            labels.append(mine)
-            found = {m[0] for m in mine if m}
-            for s, m in zip(sentences, mine, strict=True):
-                if m and category:
-                    c = m[0]
+        for page, (sentences, _) in zip(pages, documents, strict=True):
+            row: list[Mark] = []
+            for s in map(tuple, sentences):
+                score, span, strong = known[s, int(category[page] is not None)]
+                if span is None or score < theta:
+                    row.append(None)
+                elif category[page] is None:
+                    row.append(False)
+                else:
+                    votes: Counter = Counter()
+                    for g in strong:
+                        for c, n in kinds[g].items():
+                            votes[c] += n / kinds[g].total()
+                    row.append((max(CATEGORIES, key=lambda c: votes[c]) if votes else category[page], *span))
+            labels.append(row)
+            found = {m[0] for m in row if m}
+            for s, m in zip(map(tuple, sentences), row, strict=True):
+                for g in set(known[s, 1][2]) if m else ():
                     # a document with one kind of sentence says what it is; with several, the named one fits some
-                    for g in _grams(s) & strong:
-                        again[g][category if len(found) == 1 else c] += 3 if len(found) == 1 else 1
-        kinds = {g: again.get(g, kinds[g]) for g in strong}
+                    again[g][category[page] if len(found) == 1 else m[0]] += 3 if len(found) == 1 else 1
+        kinds = {g: again.get(g, n) for g, n in kinds.items()}
     return labels
 
 
@@ -274,7 +365,10 @@ class Field:
 
 
 def fit(documents: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Field:
-    """The field from labelled texts (text, category or null); AdaGrad on the conditional likelihood, in a fixed order."""
+    """The field from labelled texts (text, category or null); AdaGrad on the conditional likelihood, in a fixed order.
+
+    Where the ratings are too few to mark a single sentence, a warning says that nothing will be found.
+    """
     split = [(words(t), c) for t, c in documents]
     examples: dict[tuple[str, ...], np.ndarray] = {}
     sound: Counter = Counter()
@@ -284,8 +378,10 @@ def fit(documents: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Field:
                 c, a, b = mark
                 examples[tuple(s)] = states = np.zeros(len(s), np.int64)
                 states[a:b] = CATEGORIES.index(c) + 1
-            elif category is None:
+            elif category is None and mark is None:
                 sound[tuple(s)] += 1
+    if not examples:
+        warnings.warn(f"{len(documents)} rated documents don't tell toxic sentences from others: nothing will be found", stacklevel=2)
     known = Counter(w for s in examples for w in set(s))
     often = Counter(w for s in sound for w in set(s))
 
@@ -295,8 +391,8 @@ def fit(documents: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Field:
 
     # all that come near the marked ones, and as many others as are marked, by hash
     near = sorted((s for s in sound if s not in examples), key=lambda s: (-close(s), zlib.crc32(" ".join(s).encode())))
-    far = sorted(near[4 * LABELLED :], key=lambda s: zlib.crc32(" ".join(s).encode()))
-    chosen = [*examples.items(), *((s, np.zeros(len(s), np.int64)) for s in (*near[: 4 * LABELLED], *far[: 4 * LABELLED]))]
+    far = sorted(near[NEAR * LABELLED :], key=lambda s: zlib.crc32(" ".join(s).encode()))
+    chosen = [*examples.items(), *((s, np.zeros(len(s), np.int64)) for s in (*near[: NEAR * LABELLED], *far[: FAR * LABELLED]))]
     count = Counter(w for s, _ in chosen for w in s)
     # words that come once stand for those never seen
     vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in count.items() if n > 1), 1)}
@@ -333,15 +429,17 @@ def fit(documents: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Field:
 def labelled(corpus: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[tuple[str, str | None]]:
     """A bounded sample of rated texts, by hash of doc_id: at most `limit` toxic ones and four times as many others.
 
-    Of several ratings of a document the majority counts, toxic in a tie, with the category named most often.
+    Of several ratings of a document the majority counts, toxic in a tie, with the category named most often; a toxic
+    document without a category isn't taken. The sample is drawn from the ratings, so that one scan of the corpus
+    suffices; of it, empty texts and those over FIT_TEXT characters drop out.
     """
     votes = labels.filter("toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("share"), F.mode("category", True).alias("category"))
-    rated = votes.select("doc_id", F.when(F.col("share") >= 0.5, F.col("category")).alias("category"))
-    texts = corpus.select("doc_id", "text").filter(f"length(text) between 1 and {FIT_TEXT}").join(rated, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    bad = texts.filter(F.col("category").isin(*CATEGORIES)).orderBy(*order).limit(limit).collect()
-    good = texts.filter("category is null").orderBy(*order).limit(4 * limit).collect()
-    return [(r.text, r.category) for r in (*bad, *good)]
+    rated = votes.select("doc_id", F.when(F.col("share") < 0.5, F.lit("")).otherwise(F.col("category")).alias("category")).filter(F.col("category").isin("", *CATEGORIES))
+    bad = F.col("category") != ""
+    rank = F.row_number().over(Window.partitionBy(bad.alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rated.withColumn("rank", rank).filter(F.col("rank") <= F.when(bad, limit).otherwise(4 * limit)).select("doc_id", "category")
+    texts = corpus.select("doc_id", "text").filter(f"length(text) between 1 and {FIT_TEXT}").join(F.broadcast(chosen), "doc_id")
+    return [(r.text, r.category or None) for r in sorted(texts.collect(), key=lambda r: (not r.category, r.doc_id))]
 
 
 def scored(corpus: DataFrame, field: Field) -> DataFrame:
@@ -390,3 +488,77 @@ def kinds(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def rates(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rates per source: source, documents, and the share of them that hold each category and any; a null source is one of its own."""
     return scores.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), *[F.avg((F.col(c) >= threshold).cast("double")).alias(f"{c}_rate") for c in (*CATEGORIES, "toxic")])
+
+
+def _passages(text: str, field: Field, threshold: float) -> list[tuple[str, int, int, float]]:
+    """category, start, end and score of each offending passage of a text."""
+    sentences = [s for s in placed(_undone(_Traced(text))) if field.ids([w for w, _, _ in s]).any()]
+    out = []
+    for part, ids in _batches([field.ids([w for w, _, _ in s]) for s in sentences]):
+        chance = field.marginals(ids)[0][:, :, 1:]
+        for row, k in enumerate(part):
+            s = sentences[k]
+            n = min(STRETCH, len(s))
+            for c, category in enumerate(CATEGORIES):
+                mine = chance[row, : len(s), c]
+                run = np.convolve(mine, np.ones(n) / n, "valid")
+                near = {j for j in np.flatnonzero(run >= threshold) for j in range(j, j + n)}
+                on = [bool(x >= threshold) for x in mine]
+                a = 0
+                while a < len(s):
+                    b = a
+                    while b < len(s) and on[b]:
+                        b += 1
+                    if near & set(range(a, b)):
+                        out.append((category, s[a][1], s[b - 1][2], float(mine[a:b].mean())))
+                    a = b + 1
+    return sorted(out, key=lambda x: x[1:3])
+
+
+def offending(corpus: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per offending passage of each document: doc_id, category, start, end (characters of the text), score, passage.
+
+    A passage is a run of words of which each has at least the threshold's chance of the category, beside or within a stretch
+    whose mean reaches it. Whole texts are scored first; only documents that hold a category are traced word by word.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast(_packed(field))
+    chosen = corpus.select("doc_id", "text")
+    names = ["doc_id", "category", "start", "end", "score", "passage"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = _unpacked(shared.value)
+        for batch in batches:
+            for lo in range(0, len(batch), 1000):
+                part = batch.iloc[lo : lo + 1000]
+                texts = [t if isinstance(t, str) else None for t in part["text"]]
+                hit = np.flatnonzero(mine.scores(texts).max(axis=1, initial=0.0) >= threshold)
+                rows = [(part["doc_id"].iloc[k], c, a, b, x, texts[k][a:b]) for k in hit for c, a, b, x in _passages(texts[k], mine, threshold)]
+                yield pd.DataFrame(rows, columns=names)
+
+    return chosen.mapInPandas(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, category string, start int, end int, score double, passage string")
+
+
+def saved(spark: SparkSession, path: str, make: Callable[[], Field]) -> Field:
+    """The field that is kept at `path`, in a folder that all sessions share; made and kept there if there is none."""
+    jvm = spark.sparkContext._jvm
+    at, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        stream = fs.open(at)
+        try:
+            with np.load(io.BytesIO(bytes(stream.readAllBytes()))) as kept:
+                words_ = bytes(kept["words"]).decode().split("\n")
+                return _unpacked(({w: k for k, w in enumerate(words_, 1) if w}, kept["at"], kept["weights"], kept["moves"]))
+        finally:
+            stream.close()
+    field = make()
+    vocabulary, places, weights, moves = _packed(field)
+    data = io.BytesIO()
+    np.savez_compressed(data, words=np.frombuffer("\n".join(sorted(vocabulary, key=vocabulary.get)).encode(), np.uint8), at=places, weights=weights, moves=moves)
+    stream = fs.create(draft, True)
+    try:
+        stream.write(bytearray(data.getvalue()))
+    finally:
+        stream.close()
+    fs.rename(draft, at)
+    return field

@@ -84,3 +84,56 @@ def test_frame(spark, rated, field):
     assert sorted(c or "" for _, c in toxic.labelled(df.dropDuplicates(["doc_id"]), labels)) == ["", "abuse"]
     none = toxic.fit([])
     assert toxic.scored(df.limit(0), none).count() == 0 and not none.scores(["you are a clown"]).any()
+
+
+def test_places(field):
+    """Passages are given by their places in the text as it stands, also when words are disguised."""
+    for bad in ("You are a w0rthless idiot and everyone here knows it", "you are a worthless i.d.i.o.t and everyone here knows it", "You аre a wоrthless idi\u200bot and everyone here knows it", "YOU ARE A WORTHLESSSS IDIOT AND EVERYONE HERE KNOWS IT"):
+        text = f"We looked at a cold ﬁne kettle… İt is e\u0301te\u0301. {bad}. The old shelf needs no screws."
+        assert [[w for w, _, _ in s] for s in toxic.placed(toxic._undone(toxic._Traced(text)))] == toxic.words(text)
+        found = toxic._passages(text, field, toxic.THRESHOLD)
+        assert found and {c for c, *_ in found} == {"abuse"}
+        at = text.index(bad)
+        assert all(at <= a < b <= at + len(bad) for _, a, b, _ in found) and max(b - a for _, a, b, _ in found) >= 15
+    assert toxic._passages("the museum shows nude studies in chalk", field, toxic.THRESHOLD) == []
+
+
+def test_passages_of_all_that_is_found(spark, rated, field):
+    df = spark.createDataFrame([(k, t, None) for k, (t, _) in enumerate(rated)] + [(-1, None, None), (-2, "", None)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.category) for r in toxic.kinds(toxic.scored(df, field)).collect()}
+    rows = toxic.offending(df, field).collect()
+    texts = dict(enumerate(t for t, _ in rated))
+    assert found and {(r.doc_id, r.category) for r in rows} == found
+    assert all(texts[r.doc_id][r.start : r.end] == r.passage and r.score >= toxic.THRESHOLD for r in rows)
+    assert toxic.offending(df.limit(0), field).count() == 0
+
+
+def test_few_ratings(rated):
+    """Some dozens of ratings do, also with wrong ones among them; where they can't, a warning says so."""
+    rng = random.Random(5)
+    few = [(page(rng, c), c) for c in toxic.CATEGORIES for _ in range(9)] + [(page(rng), None) for _ in range(80)] + [(page(rng, "hate"), None), (page(rng), "abuse")]
+    field = toxic.fit(few)
+    held = [(page(rng, c), c) for c in (*toxic.CATEGORIES, None, None, None) for _ in range(30)]
+    found = field.scores([t for t, _ in held]).max(axis=1) >= toxic.THRESHOLD
+    assert sum(found[k] for k, (_, c) in enumerate(held) if c) >= 0.9 * 90 and sum(found[k] for k, (_, c) in enumerate(held) if not c) <= 2
+    with pytest.warns(UserWarning, match="nothing will be found"):
+        assert toxic.fit(few[:1] + few[-20:-15]).scores([few[0][0]]).max() < toxic.THRESHOLD
+
+
+def test_rates_of_planted_passages(spark, field):
+    rng = random.Random(6)
+    share = {"a": 10, "b": 4, "c": 0}
+    rows = [(100 * j + k, page(rng, "hate" if k < n else None), source) for j, (source, n) in enumerate(share.items()) for k in range(40)]
+    got = {r.source: (r.documents, r.hate_rate, r.toxic_rate, r.sexual_rate) for r in toxic.rates(toxic.scored(spark.createDataFrame(rows, "doc_id long, text string, source string"), field)).collect()}
+    assert got == {s: (40, n / 40, n / 40, 0.0) for s, n in share.items()}
+
+
+def test_saved_once(spark, field, tmp_path):
+    made = []
+    path = f"file://{tmp_path}/field.npz"
+    first = toxic.saved(spark, path, lambda: made.append(1) or field)
+    again = toxic.saved(spark, path, lambda: made.append(1) or field)
+    text = ["You are a worthless clown and everyone here knows it.", "the {} shelf"]
+    assert len(made) == 1 and first is field and np.array_equal(again.scores(text), field.scores(text)) and again.vocabulary == field.vocabulary
+    empty = toxic.saved(spark, f"file://{tmp_path}/none.npz", lambda: toxic.fit([]))
+    assert toxic.saved(spark, f"file://{tmp_path}/none.npz", lambda: None).vocabulary == empty.vocabulary == {}
