@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 BITS = 1 << 20
 #: Relative standard error that bitmaps are sized for; small cells, too, then hardly ever have two values on one bit.
 TARGET = 0.0007
+#: An estimate's bound: so many standard errors, and so many values, which small sets can be off by where hardly any bits coincide.
+SIGMAS, FEW = 6.0, 2.0
 #: Up to so many cells of roll-ups are broadcast (about 100 bytes each); beyond it they are joined by shuffle.
 BROADCAST_CELLS = 200_000
 
@@ -64,10 +66,14 @@ def estimate(set_bits: Column, bits: int = BITS) -> Column:
     return -F.log(F.greatest(F.lit(bits) - set_bits, F.lit(1)) / F.lit(float(bits))) * bits
 
 
-def margin(n: Column, bits: int = BITS, sigmas: float = 4.0) -> Column:
-    """Bound of the estimate's error, at so many standard errors."""
+def margin(n: Column, bits: int = BITS, sigmas: float = SIGMAS) -> Column:
+    """Bound of the estimate's error: `sigmas` standard errors and FEW values.
+
+    The chance that an estimate is further off is below 1e-6: of a large set by the normal distribution, of a small one,
+    where coinciding bits are rare events with n * n / (2 * bits) as their mean, by Poisson's.
+    """
     t = n / F.lit(float(bits))
-    return F.sqrt(F.greatest(F.exp(t) - t - 1, F.lit(0.0)) * bits) * sigmas
+    return F.sqrt(F.greatest(F.exp(t) - t - 1, F.lit(0.0)) * bits) * sigmas + FEW
 
 
 def _bounded(off: Column, bits: int) -> Column:
@@ -133,18 +139,32 @@ def _each(lines: DataFrame, columns: list[str]) -> DataFrame:
     return lines.select("feed_id", F.explode(pairs).alias("x")).select("feed_id", "x.column_name", "x.value").filter("value is not null")
 
 
-def _doubtful(stated: Column, off: str = "margin") -> Column:
-    """Whether a stated number is more than a tenth off the estimate, or the error could make it so; without a margin it always could."""
-    return F.col(off).isNull() & stated.isNotNull() | (F.abs(stated - F.col("estimate")) > F.col("estimate") / 10 - F.col(off) * 1.1 - 1e-6)
+def _verdict(stated: Column, rows: Column | None = None) -> tuple[Column, Column]:
+    """Whether a stated number is surely more than a tenth off the true one, and whether the estimate leaves that open.
+
+    The true number lies within the margin around the estimate, and, where there is one, there is a value at least and no more values than `rows`;
+    without a margin, of a full bitmap, it may be any. A null stated number is neither.
+    """
+    low = F.greatest(F.col("estimate") - F.col("margin"), F.lit(0.0))
+    high = F.col("estimate") + F.col("margin")
+    if rows is not None:
+        low, high = F.greatest(low, F.lit(1.0)), F.least(high, rows.cast("double"))
+    # 10 * |stated - t| > t for all t from low to high, and for none
+    slack = 1e-9 * (1 + F.abs(stated))
+    surely = (stated > 1.1 * high + slack) | (stated < 0.9 * low - slack)
+    never = (stated <= 1.1 * low - slack) & (stated >= 0.9 * high + slack)
+    known = F.col("margin").isNotNull()
+    return F.coalesce(known & surely, F.lit(False)), stated.isNotNull() & ~F.coalesce(known & (surely | never), F.lit(False))
 
 
 def wrong_rollups(lines: DataFrame, rollups: DataFrame, bits: int | None = None) -> DataFrame:
     """rollup_id of the roll-ups of which distinct_count or uniqueness_ratio is more than a tenth off.
 
     Each load's lines give partial bitmaps; their union gives the count of each part of a feed that
-    is asked for, with a known error. Parts whose stated figures lie more than a tenth off the
-    estimate, or so near to it that the error matters, are then counted exactly. Parts without a
-    non-null value aren't cases; a null stated figure is no false one; unknown columns aren't counted.
+    is asked for, with a known error. A stated figure that is more than a tenth off whatever the true count within
+    that error is false, one that is off in no case is true; only cells that the error leaves open are
+    counted exactly. Parts without a non-null value aren't cases; a null stated figure is no false one;
+    unknown columns aren't counted. Three jobs: the columns, the number of cells, and the largest feed.
     """
     columns = sorted(r[0] for r in rollups.filter(F.col("column_name").isin(lines.columns)).select("column_name").distinct().collect())
     if not columns:
@@ -155,16 +175,17 @@ def wrong_rollups(lines: DataFrame, rollups: DataFrame, bits: int | None = None)
     small = cells.count() <= BROADCAST_CELLS
     bits = bits or sized(lines, "feed_id")
     counts = distinct(bitmaps(_covered(lines, cells, columns, small), ["cell", "load_no"], "value", bits), ["cell"], bits)
-    doubtful = stated.join(counts, "cell").filter(_doubtful(F.col("distinct_count")) | _doubtful(F.col("uniqueness_ratio") * F.col("rows")))
-    again = doubtful.select("area", "column_name", "cell").distinct()
+    (count_off, count_open), (ratio_off, ratio_open) = _verdict(F.col("distinct_count"), F.col("rows")), _verdict(F.col("uniqueness_ratio") * F.col("rows"), F.col("rows"))
+    judged = stated.join(counts, "cell").withColumns({"off": count_off | ratio_off, "open": ~(count_off | ratio_off) & (count_open | ratio_open)})
+    again = judged.filter("open").select("area", "column_name", "cell").distinct()
     exact = _covered(lines, again, columns, small).filter("value is not null").groupBy("cell", "value").agg(F.count(F.lit(1)).alias("v")).groupBy("cell").agg(F.count(F.lit(1)).alias("t"), F.sum("v").alias("v"))
-    false = "10 * abs(distinct_count - t) > t or 10 * abs(uniqueness_ratio - t / v) > t / v"
-    return stated.join(exact, "cell").filter(false).select("rollup_id")
+    false = "off or coalesce(10 * abs(distinct_count - t) > t, false) or coalesce(10 * abs(uniqueness_ratio - t / v) > t / v, false)"
+    return judged.join(exact, "cell", "left").filter(false).select("rollup_id")
 
 
 def wrong_dependencies(lines: DataFrame, dependencies: DataFrame, bits: int | None = None) -> DataFrame:
     """fd_id of the dependencies whose support is more than a tenth off the number of non-null
-    determinant values on more than one line of the feed; estimated and then, where it matters,
+    determinant values on more than one line of the feed; estimated and, where the error leaves it open,
     counted exactly, as roll-ups are. A null support is no false one; unknown columns aren't counted."""
     columns = sorted(r[0] for r in dependencies.filter(F.col("determinant").isin(lines.columns)).select("determinant").distinct().collect())
     if not columns:
@@ -174,9 +195,22 @@ def wrong_dependencies(lines: DataFrame, dependencies: DataFrame, bits: int | No
     small = stated.select(*keys).distinct().count() <= BROADCAST_CELLS
     bits = bits or sized(lines, "feed_id")
     counts = repeated(_each(lines, columns), keys, "value", bits)
+    # a feed without any value has support 0, for sure
     rated = stated.join(counts, keys, "left").withColumns({"estimate": F.coalesce("estimate", F.lit(0.0)), "margin": F.when(F.col("set_bits").isNull(), 0.0).otherwise(F.col("margin"))})
-    again = rated.filter(_doubtful(F.col("support"))).select(*keys).distinct()
+    off, left_open = _verdict(F.col("support"))
+    judged = rated.withColumns({"off": off, "open": left_open})
+    again = judged.filter("open").select(*keys).distinct()
     exact = _each(lines, columns).join(F.broadcast(again) if small else again, keys, "left_semi").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") > 1).alias("t"))
-    # counted cells, and those without any value, whose support is 0
-    true = again.join(exact, keys, "left").select(*keys, F.coalesce("t", F.lit(0)).alias("t"))
-    return stated.join(true, keys).filter("10 * abs(support - t) > t").select("fd_id")
+    return judged.join(exact, keys, "left").filter("off or open and 10 * abs(support - coalesce(t, 0)) > coalesce(t, 0)").select("fd_id")
+
+
+def rollup_counts(lines: DataFrame, rollups: DataFrame, bits: int | None = None) -> DataFrame:
+    """rollup_id, estimate and margin of each roll-up whose part has a non-null value: the counts with their known error, as partial results give them."""
+    columns = sorted(r[0] for r in rollups.filter(F.col("column_name").isin(lines.columns)).select("column_name").distinct().collect())
+    if not columns:
+        return rollups.select("rollup_id", F.lit(0.0).alias("estimate"), F.lit(0.0).alias("margin")).limit(0)
+    stated = rollups.filter(F.col("column_name").isin(columns)).select("rollup_id", "column_name", _area(F.col("sale_date"), F.col("country"), F.col("line_type")).alias("area")).withColumn("cell", F.xxhash64("area", "column_name"))
+    cells = stated.select("area", "column_name", "cell").distinct()
+    bits = bits or sized(lines, "feed_id")
+    partials = bitmaps(_covered(lines, cells, columns, cells.count() <= BROADCAST_CELLS), ["cell", "load_no"], "value", bits)
+    return stated.join(distinct(partials, ["cell"], bits), "cell").select("rollup_id", "estimate", "margin")

@@ -29,6 +29,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.unionByName(dependencies.select(F.lit("functional_dependencies").alias("src"), F.col("fd_id").alias("row_id")))
 
 
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimated count of each roll-up and its bound."""
+    return distinct.rollup_counts(table(spark, folder, "retail_lines"), table(spark, folder, "rollup_profiles"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return frequent.frequent(table(spark, folder, "value_counts"), 0.01).select("column_name", "item_value")
 
@@ -60,7 +65,7 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return toxic.offending(table(spark, folder, "documents"), _field(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_spans": p8_spans}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {
     "p2_found": """

@@ -64,3 +64,32 @@ def test_bitmaps_are_sized_by_the_largest_group(spark):
     bits = distinct.sized(lines, "feed_id", 0.01)
     assert bits == distinct.bits_for(2900, 0.01) and distinct.error(2900, bits) <= 0.01
     assert distinct.sized(lines.limit(0), "feed_id") >= 64 and distinct.bits_for(100_000_000, distinct.TARGET) > distinct.BITS
+
+
+def test_more_values_than_bits(spark):
+    """Three values a bit: the estimate still lies within its margin, and statements far off or right are told without counting."""
+    df = spark.range(40_000).selectExpr("'g' feed_id", "cast(id % 24000 as string) customer_id", "id % 3 load_no", "cast(null as timestamp_ntz) invoice_date", "'C' country", "'P' line_type")
+    r = distinct.distinct(distinct.bitmaps(df, ["feed_id", "load_no"], "customer_id", 1 << 13), ["feed_id"], 1 << 13).collect()[0]
+    assert abs(r.estimate - 24_000) <= r.margin < 24_000 * 0.1
+    rollups = spark.createDataFrame([(k, "g", None, None, None, "customer_id", n, n / 40_000) for k, n in enumerate((24_000, 26_401, 26_399, 21_599, 12_000, 48_000))], "rollup_id long, feed_id string, sale_date date, country string, line_type string, column_name string, distinct_count long, uniqueness_ratio double")
+    assert sorted(x[0] for x in distinct.wrong_rollups(df, rollups, 1 << 13).collect()) == [1, 3, 4, 5]
+
+
+def test_only_open_cells_are_counted(spark, monkeypatch):
+    """The verdict comes from the bitmaps where their error allows it."""
+    counts = spark.createDataFrame([(1, 1000.0, 50.0, 1200), (2, 1000.0, None, 1200), (3, 0.0, 0.0, 0)], "k int, estimate double, margin double, rows long")
+    for stated, want in ((1000, [(1, False, False), (2, False, True)]), (1120, [(1, False, True), (2, False, True)]), (1160, [(1, True, False), (2, False, True)]), (500, [(1, True, False), (2, False, True)]), (None, [(1, False, False), (2, False, False)])):
+        off, left_open = distinct._verdict(distinct.F.lit(stated).cast("double"), distinct.F.col("rows"))
+        assert [tuple(r) for r in counts.filter("k < 3").select("k", off, left_open).orderBy("k").collect()] == want
+
+
+def test_counts_lie_within_their_margins(spark, data):
+    from ledgerlight.llm import queries
+
+    got = {r.rollup_id: r for r in queries.p2_counts(spark, data).collect()}
+    con = __import__("duckdb").connect()
+    rows = con.execute(f"""SELECT rollup_id, CASE p.column_name WHEN 'invoice_no' THEN COUNT(DISTINCT invoice_no) WHEN 'customer_id' THEN COUNT(DISTINCT customer_id) WHEN 'stock_code' THEN COUNT(DISTINCT stock_code) END AS t
+        FROM '{data}/rollup_profiles.parquet' p JOIN '{data}/retail_lines.parquet' l ON l.feed_id = p.feed_id AND (sale_date IS NULL OR CAST(invoice_date AS DATE) = sale_date) AND (p.country IS NULL OR p.country = l.country) AND (p.line_type IS NULL OR p.line_type = l.line_type)
+        GROUP BY rollup_id, p.column_name""").fetchall()
+    assert {k for k, t in rows if t} == set(got)
+    assert all(abs(got[k].estimate - t) <= got[k].margin for k, t in rows if t)
