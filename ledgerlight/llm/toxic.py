@@ -18,6 +18,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ LABELLED = 1500
 #: Sound sentences that the field is fitted on, at most, as multiples of LABELLED: the nearest to the marked ones, and others.
 NEAR, FAR = 4, 4
 #: A sentence marked by chance does as much harm as so many rightly marked ones do good.
-HARM = 4.0
+HARM = 20.0
 #: Most that one word sequence can say, and from where on it counts as evidence (in nats).
 CAP, SAYS = 8.0, 1.0
 #: Characters of the longest text that is taken for the fit (scoring has no such bound).
@@ -176,6 +177,12 @@ def _threshold(hits: list[float], chance: list[float], weight: float) -> float:
     return theta
 
 
+@lru_cache(SENTENCE + 1)
+def _sequences(length: int) -> list[tuple[int, int]]:
+    """First and end of the sequences of one to three words of a sentence."""
+    return [(k, k + n) for n in (1, 2, 3) for k in range(length - n + 1)]
+
+
 def marked(documents: list[tuple[list[list[str]], str | None]]) -> list[list[Mark]]:
     """The marked words of each sentence of labelled documents (sentences, category or null).
 
@@ -192,19 +199,19 @@ def marked(documents: list[tuple[list[list[str]], str | None]]) -> list[list[Mar
         category[page] = category.get(page) or c
     rate = min(max(sum(1 for c in category.values() if c) / max(len(category), 1), 1e-3), 1 - 1e-3)
     number: dict[tuple[str, ...], int] = {}
-    grams: dict[tuple[str, ...], list[tuple[int, int, int]]] = {}
-    held: defaultdict[int, set[int]] = defaultdict(set)
-    for page, (sentences, _) in zip(pages, documents, strict=True):
+    grams: dict[tuple[str, ...], np.ndarray] = {}
+    for sentences, _ in documents:
         for s in map(tuple, sentences):
             if s not in grams:
-                grams[s] = [(k, k + n, number.setdefault(s[k : k + n], len(number))) for n in (1, 2, 3) for k in range(len(s) - n + 1)]
-            held[page].update(g for _, _, g in grams[s])
+                grams[s] = np.array([number.setdefault(s[a:b], len(number)) for a, b in _sequences(len(s))], np.int32)
     bad, sound = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    kinds: dict[int, Counter] = defaultdict(Counter)
-    for page, mine in held.items():
-        (bad if category[page] else sound)[list(mine)] += 1
-        for g in mine if category[page] else ():
-            kinds[g][category[page]] += 1
+    whole: defaultdict[int, list[int]] = defaultdict(list)
+    for k, page in enumerate(pages):
+        whole[page].append(k)
+    for page, members in whole.items():
+        mine = [grams[s] for k in members for s in map(tuple, documents[k][0])]
+        if mine:
+            (bad if category[page] else sound)[np.unique(np.concatenate(mine))] += 1
     bad_, sound_ = bad.tolist(), sound.tolist()
     says: dict[tuple[int, int], float] = {}
 
@@ -218,7 +225,7 @@ def marked(documents: list[tuple[list[list[str]], str | None]]) -> list[list[Mar
     def judged(s: tuple[str, ...], own: int) -> tuple[float, tuple[int, int] | None, list[int]]:
         """(score, first and end of the words that speak for it, the sequences of two and three words that do), without the own page."""
         word, strong = [-math.inf] * len(s), []
-        for a, b, g in grams[s]:
+        for (a, b), g in zip(_sequences(len(s)), grams[s].tolist(), strict=True):
             t, c = bad_[g] - own, sound_[g] - 1 + own
             if t + c:
                 x = ratio(t, c)
@@ -239,6 +246,13 @@ def marked(documents: list[tuple[list[list[str]], str | None]]) -> list[list[Mar
                 known[s, own] = judged(s, own)
             scores[own][page, s] = known[s, own][0]
     theta = _threshold(list(scores[1].values()), list(scores[0].values()), HARM * len(scores[1]) / max(len(scores[0]), 1))
+    # the categories for which the sequences of marked sentences speak
+    telling = {g for (_, own), (score, _, strong) in known.items() if own and score >= theta for g in strong}
+    kinds: dict[int, Counter] = {g: Counter() for g in telling}
+    for page, members in whole.items():
+        if category[page]:
+            for g in telling & {g for k in members for s in map(tuple, documents[k][0]) for g in grams[s].tolist()}:
+                kinds[g][category[page]] += 1
     labels: list[list[Mark]] = []
     for _ in range(3):
         labels, again = [], defaultdict(Counter)
