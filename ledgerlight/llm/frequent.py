@@ -10,6 +10,7 @@ lessened by those of all others. This keeps both bounds, in any order of merging
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.sources.tables import scratch
+
 #: Rows and cells a row (a power of two up to 2**16): 4 * 4096 cells are about 0.5 MB a column and task.
 ROWS, WIDTH = 4, 4096
 _CELLS = "column_name string, row int, cell int, total long, candidate string, surplus long"
@@ -96,7 +99,10 @@ def frequent(df: DataFrame, share: float = 0.01, column: str = "column_name", va
     them, so the result is complete for any input. An empty table gives no rows; ties all stay.
     """
     spark = df.sparkSession
-    merged = sketch(df, column, value, weight, width)
+    # the merged sketch is written, ROWS * width cells a column at most, so that its totals and cells come from one pass
+    folder = f"{scratch(spark)}/sketch-{uuid.uuid4().hex}"
+    sketch(df, column, value, weight, width).write.parquet(folder)
+    merged = spark.read.schema(_CELLS).parquet(folder)
     totals = F.broadcast(merged.filter("row = -1").select(F.col("column_name").alias("c"), F.col("total").alias("net")))
     # a little less than the threshold, which is taken exactly below
     heavy = merged.join(totals, F.col("column_name").eqNullSafe(F.col("c"))).filter(((F.col("row") >= 0) & (F.col("net") > 0) & (F.col("total") >= F.col("net") * (share * (1 - 1e-9)))) | (F.col("row") == -1))
