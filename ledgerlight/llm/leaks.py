@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.sources.tables import scratch
+
 #: An occurrence: so many words in a row; or this share of the passage with at most one word in EDIT changed.
 RUN, SHARE, EDIT = 12, 0.6, 8
 #: Words of a shingle; shorter only for passages so short that a changed stretch needn't hold five in a row.
 SHINGLE = 5
-#: Characters of passages whose index is broadcast at once (about 30 bytes of index each); more are searched in blocks.
+#: Characters of passages up to which their index is broadcast (about 30 bytes of index each); more are joined by shuffle.
 BLOCK = 4_000_000
+#: Bits of the bitmap of all prefixes, by which documents' shingles are filtered before they are shuffled (16 MB).
+FILTER = 1 << 27
 #: Letters whose accent isn't a separate character in any normal form.
 _STROKES = str.maketrans("øØłŁđĐħĦŧŦıƀɨɵʉ", "oOlLdDhHtTibiou")
 _STROKE = re.compile("[øØłŁđĐħĦŧŦıƀɨɵʉ]")
@@ -200,39 +206,114 @@ def leaked(corpus: DataFrame, items: DataFrame, text: str = "text", key: str = "
     """One row per document and item that occurs in it: `key`, item_id, way (`run` or `stretch`), words.
 
     Null, empty and wordless texts and passages hold nothing; of several rows of an item each passage
-    counts; repeated documents give one row a (key, item, way, words). Items come to the driver in blocks of BLOCK
-    characters, each a pass over the corpus, and go to the workers as an index of a proven size.
-    Documents aren't shuffled or expanded; only their `key` and text are read.
+    counts; repeated documents give one row a (key, item, way, words). Up to BLOCK characters of passages go
+    to the workers as an index, and documents aren't shuffled; more are joined with the documents by the shingles
+    of their prefixes. Either way each document is read whole, and the results are the same.
     """
-    spark = corpus.sparkSession
-    docs = corpus.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
+    docs = corpus.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text")).filter("length(__text) > 0")
     schema = T.StructType([docs.schema[0], T.StructField("item_id", T.LongType()), T.StructField("way", T.StringType()), T.StructField("words", T.IntegerType())])
-    out = spark.createDataFrame([], schema)
-    block: list[tuple[int, str]] = []
-    size = 0
-
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        # a passage of its own for each row, told apart by its number
-        own = {n: i for n, (i, _) in enumerate(block)}
-        shared = spark.sparkContext.broadcast((Index.of([(n, p) for n, (_, p) in enumerate(block)]), own))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, ids = shared.value
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2000):
-                    part = batch.slice(lo, 2000)
-                    found = [(k, ids[n], way, count) for k, n, way, count in index.hits(part.column(1).to_pylist())]
-                    if found:
-                        k, i, way, count = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), pa.array(i, pa.int64()), pa.array(way), pa.array(count, pa.int32())], names=schema.names)
-
-        return docs.filter("length(__text) > 0").mapInArrow(run, schema)
-
-    for r in items.select(F.col(f"`{item}`").cast("long"), F.col(f"`{passage}`")).filter(F.col(f"`{passage}`").isNotNull()).toLocalIterator():
-        if size and size + len(r[1]) > BLOCK:
-            out, block, size = out.unionByName(search(block)), [], 0
-        block.append((r[0], r[1]))
-        size += len(r[1])
-    if block:
-        out = out.unionByName(search(block))
-    return out.distinct()
+    held = items.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{passage}`").alias("passage")).filter("length(passage) > 0").distinct()
+    size = held.agg(F.sum(F.length("passage"))).collect()[0][0] or 0
+    return (_looked_up(docs, held.collect(), schema) if size <= BLOCK else _joined(docs, held, schema)).distinct()
+
+
+def _looked_up(docs: DataFrame, items: list, schema: T.StructType) -> DataFrame:
+    """By an index of all passages on every worker."""
+    # a passage of its own for each row, told apart by its number
+    items = sorted(map(tuple, items))
+    shared = docs.sparkSession.sparkContext.broadcast((Index.of([(n, p) for n, (_, p) in enumerate(items)]), [i for i, _ in items]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                found = [(k, ids[n], way, count) for k, n, way, count in index.hits(part.column(1).to_pylist())]
+                if found:
+                    k, i, way, count = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), pa.array(i, pa.int64()), pa.array(way), pa.array(count, pa.int32())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _hashes(text: str, known: dict[str, int]) -> np.ndarray:
+    """A number for each word, the same on all workers; that two words may share one only makes a candidate more."""
+    if len(known) > 500_000:
+        known.clear()
+    out = []
+    for w in words(text):
+        if (h := known.get(w)) is None:
+            h = known[w] = zlib.crc32(w.encode())
+        out.append(h)
+    return np.array(out, np.int64)
+
+
+def _joined(docs: DataFrame, items: DataFrame, schema: T.StructType) -> DataFrame:
+    """By a shuffle join of documents' shingles with the prefixes of passages.
+
+    A bitmap of the prefixes, of FILTER bits whatever their number, lets only documents' shingles through that
+    may be among them. Pairs of document and passage that share one are verified one by one.
+    """
+    spark = docs.sparkSession
+    key = docs.columns[0]
+    items = items.withColumn("pid", F.xxhash64("item_id", "passage"))
+    coded = T.StructType([T.StructField("pid", T.LongType()), T.StructField("w", T.IntegerType()), T.StructField("prefix", T.IntegerType()), T.StructField("code", T.LongType())])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for pid, passage in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = _hashes(passage, known)
+                if len(ids):
+                    w, least = needs(len(ids))
+                    code = Index._at(ids, np.arange(max(0, len(ids) - w + 1)), w).view(np.int64)
+                    n = len(code)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pid)), pa.array(np.full(n, w, np.int32)), pa.array(np.full(n, max(1, n - least + 1), np.int32)), pa.array(code)], names=coded.names)
+
+    places = items.select("pid", "passage").mapInArrow(shingles, coded)
+    often = places.groupBy("w", "code").agg(F.count(F.lit(1)).alias("n"))
+    # the rarest of a passage's own shingles; a passage is a row of the items, so the array is bound by its length
+    ranked = places.join(often, ["w", "code"]).groupBy("pid", "w", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("all"))
+    folder = f"{scratch(spark)}/prefixes-{uuid.uuid4().hex}"
+    ranked.select("pid", "w", F.explode(F.slice("all", F.lit(1), F.col("prefix"))).alias("x")).select("pid", "w", F.col("x.code").alias("code")).distinct().write.parquet(folder)
+    prefixes = spark.read.parquet(folder)
+    place = F.col("code").bitwiseAND(F.lit(FILTER - 1))
+    bits = prefixes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 as int))")).alias("mask")).toArrow()
+    shared = spark.sparkContext.broadcast((bits.column("word").to_numpy(), bits.column("mask").to_numpy(), sorted(r.w for r in prefixes.select("w").distinct().collect())))
+    candidates = T.StructType([docs.schema[0], T.StructField("w", T.IntegerType()), T.StructField("code", T.LongType())])
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, masks, lengths = shared.value
+        bitmap = np.zeros(FILTER // 64, np.int64)
+        bitmap[at] = masks
+        known: dict[str, int] = {}
+        for batch in batches:
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                ids = _hashes(text, known)
+                for w in lengths:
+                    code = np.unique(Index._at(ids, np.arange(max(0, len(ids) - w + 1)), w)).view(np.int64)
+                    low = code & (FILTER - 1)
+                    code = code[(bitmap[low >> 6] >> (code & 63)) & 1 == 1]
+                    if n := len(code):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, row))), pa.array(np.full(n, w, np.int32)), pa.array(code)], names=candidates.names)
+
+    near = docs.mapInArrow(looked_up, candidates)
+    pairs = near.join(prefixes, ["w", "code"]).select(F.col(f"`{key}`").alias("__key"), "pid").distinct().join(items, "pid")
+    both = docs.join(pairs, docs[key] == F.col("__key")).select(F.col(f"`{key}`"), "__text", "item_id", "passage")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Index] = {}
+        for batch in batches:
+            texts, ids, passages = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            found = []
+            for row, (text, passage) in enumerate(zip(texts, passages, strict=True)):
+                if passage not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    known[passage] = Index.of([(0, passage)])
+                found += [(row, ids[row], way, count) for _, _, way, count in known[passage].hits([text])]
+            if found:
+                k, i, way, count = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(i, pa.int64()), pa.array(way), pa.array(count, pa.int32())], names=schema.names)
+
+    return both.mapInArrow(verify, schema)

@@ -57,10 +57,17 @@ def test_what_doesn_t_matter(spark):
     assert leaks.leaked(corpus.limit(0), items).count() == 0 and leaks.leaked(corpus, items.limit(0)).count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_the_join_gives_the_same(spark, data, monkeypatch):
+    """Beyond one block of passages, documents and passages are joined by shuffle."""
     rng = random.Random(2)
-    items = spark.createDataFrame([(k, " ".join(rng.choices(WORDS, k=30))) for k in range(6)], "item_id long, passage string")
-    corpus = items.selectExpr("item_id + 100 doc_id", "concat('x ', passage) text")
-    whole = sorted(map(str, leaks.leaked(corpus, items).collect()))
-    monkeypatch.setattr(leaks, "BLOCK", 200)
-    assert sorted(map(str, leaks.leaked(corpus, items).collect())) == whole and len(whole) == 6
+    rows = [(k, " ".join(rng.choices(WORDS, k=rng.choice([2, 7, 13, 30])))) for k in range(30)] + [(3, "another passage of an item there is already, long enough to be found again"), (50, None), (51, "!!")]
+    items = spark.createDataFrame(rows, "item_id long, passage string")
+    corpus = items.selectExpr("item_id + 100 doc_id", "concat('x ', passage, ' y') text").union(items.selectExpr("item_id + 200", "substr(passage, 12)")).union(items.selectExpr("7L", "concat(passage, ' tail')"))
+    held = spark.read.parquet(f"{data}/eval_items.parquet").filter("split_name <> 'train'")
+    for c, i in ((corpus, items), (spark.read.parquet(f"{data}/documents.parquet"), held)):
+        monkeypatch.setattr(leaks, "BLOCK", 4_000_000)
+        whole = sorted(map(str, leaks.leaked(c, i).collect()))
+        monkeypatch.setattr(leaks, "BLOCK", 200)
+        assert sorted(map(str, leaks.leaked(c, i).collect())) == whole and whole
+    monkeypatch.setattr(leaks, "FILTER", 1 << 10)  # a full bitmap lets more through, no less
+    assert sorted(map(str, leaks.leaked(corpus, items).collect())) == sorted(map(str, leaks._looked_up(corpus.withColumnRenamed("text", "__text").filter("length(__text) > 0"), [r for r in items.collect() if r.passage], leaks.leaked(corpus, items).schema).distinct().collect()))
