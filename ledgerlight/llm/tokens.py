@@ -7,6 +7,7 @@ Pieces are bytes written as characters by the vocabulary's byte table; decoding
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -49,6 +50,18 @@ class Pieces(dict):
         return ids
 
 
+def _known(path: str) -> None:
+    """An error unless a vocabulary splits text as this module does: byte-level BPE with its usual pattern, nothing normalized or put before."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    split = raw.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    model = raw.get("model") or {}
+    affixed = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    if not plain or raw.get("normalizer") or model.get("type") != "BPE" or affixed:
+        raise ValueError(f"{os.path.basename(path)} isn't a byte-level BPE vocabulary without normalizer and prefix space: its ids would be others")
+
+
 _opened: dict[str, tuple] = {}
 
 
@@ -58,6 +71,7 @@ def opened(path: str) -> tuple:
         import regex
         from tokenizers import Tokenizer
 
+        _known(path)
         back = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
         raw: list[bytes] = [b""] * (max(vocabulary.values()) + 1)

@@ -48,3 +48,9 @@ def test_frame(spark):
     back = tokens.decode_ids(spark.createDataFrame([(1, tokens.encode("hé")), (2, None), (3, []), (4, [999_999, None])], "doc_id long, ids array<int>"))
     assert [r.text for r in back.orderBy("doc_id").collect()] == ["hé", None, "", "��"]
     assert tokens.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_other_vocabularies_are_an_error():
+    """One that splits or normalizes text in another way would silently give other ids."""
+    with pytest.raises(ValueError, match="word_bpe_49k"):
+        tokens.encode("text", "/opt/tokenizers/word_bpe_49k.json")
