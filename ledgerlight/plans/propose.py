@@ -76,10 +76,10 @@ class Missing(Exception):
 
 
 class Replay:
-    """Answers of a provider by the hash of the request; with a live provider, new ones are recorded."""
+    """Answers of a provider by the hash of the request; with a live provider, new ones are recorded unless told not to."""
 
-    def __init__(self, folder: str, live: Callable[[dict], Any] | None = None):
-        self.folder, self.live = Path(folder), live
+    def __init__(self, folder: str, live: Callable[[dict], Any] | None = None, keep: bool = True):
+        self.folder, self.live, self.keep = Path(folder), live, keep
 
     def key(self, request: dict[str, Any]) -> str:
         return hashlib.sha256(json.dumps(request, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
@@ -91,6 +91,8 @@ class Replay:
         if self.live is None:
             raise Missing(at.stem)
         response = self.live(request)
+        if not self.keep:
+            return response
         self.folder.mkdir(parents=True, exist_ok=True)
         part = at.with_suffix(".part")
         part.write_text(json.dumps({"request": request, "response": response}, ensure_ascii=False))

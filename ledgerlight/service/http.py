@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import email
+import email.policy
 import hashlib
 import json
+import shutil
 import tempfile
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -19,15 +22,45 @@ from ledgerlight.service.jobs import Jobs, redacted
 from ledgerlight.sources import samples
 from ledgerlight.sources.files import load
 from ledgerlight.sources.store import Store
+from ledgerlight.sources.tables import local
 
 #: Largest upload in bytes.
 UPLOAD = 500 * 1024 * 1024
 
 
-def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str | None = None, provider: Callable[[dict], Any] | None = None) -> ThreadingHTTPServer:
-    """A server that isn't started yet. Uploads go to a folder that all executors can read. With a provider,
-    queries may be questions in words, and it proposes the roles of columns."""
-    jobs, folder = Jobs(), Path(uploads or tempfile.mkdtemp(prefix="uploads-"))
+class BadUpload(ValueError):
+    """An upload without a file; `kind` says why."""
+
+    def __init__(self, kind: str, text: str):
+        super().__init__(text)
+        self.kind = kind
+
+
+def uploaded(kind: str, body: bytes) -> bytes:
+    """The file of an upload: the body, or the first part with a file name of one in parts."""
+    if kind.lower().startswith("multipart/form-data"):
+        whole = email.message_from_bytes(f"Content-Type: {kind}\r\n\r\n".encode() + body, policy=email.policy.HTTP)
+        part = next((p for p in whole.walk() if p.get_filename() is not None), None)
+        if part is None:
+            raise BadUpload("no_file_part", "None of the parts is a file")
+        return part.get_payload(decode=True) or b""
+    if body[:64].lstrip().startswith(b"--") and b"Content-Disposition" in body[:400]:
+        raise BadUpload("looks_like_multipart", "The body is in parts, but its type isn't multipart/form-data")
+    return body
+
+
+def _uploads(store: Store, uploads: str | None) -> Path:
+    if not uploads:
+        if not local(store.spark):
+            raise ValueError("uploads need a folder that all executors share")
+        uploads = tempfile.mkdtemp(prefix="uploads-")
+    return Path(uploads.removeprefix("file://"))
+
+
+def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str | None = None, provider: Callable[[dict], Any] | None = None, max_upload: int = UPLOAD, min_free: int = 0) -> ThreadingHTTPServer:
+    """A server that isn't started yet. Uploads go to a folder that all executors can read, on a disk of which `min_free`
+    bytes stay free. With a provider, queries may be questions in words, and it proposes the roles of columns."""
+    jobs, folder = Jobs(), _uploads(store, uploads)
 
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *_args) -> None:
@@ -82,13 +115,20 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
         def do_POST(self) -> None:
             parts = self.path.strip("/").split("/")
             size = int(self.headers.get("Content-Length", 0))
-            if size > UPLOAD:
-                return self._fail(413, "too_large", f"Uploads end at {UPLOAD} bytes")
+            if size > max_upload:
+                return self._fail(413, "too_large", f"Uploads end at {max_upload} bytes")
+            if parts == ["datasets"] and shutil.disk_usage(folder).free - size < min_free:
+                return self._fail(507, "no_space", "There is no room for this upload")
             body = self.rfile.read(size)
             if parts[0] == "samples" and len(parts) == 2:
                 if parts[1] not in samples.names():
                     return self._fail(404, "not_found", "There is no such sample")
                 parts, body = ["datasets"], samples.content(parts[1])
+            elif parts == ["datasets"]:
+                try:
+                    body = uploaded(self.headers.get("Content-Type", ""), body)
+                except BadUpload as e:
+                    return self._fail(400, e.kind, str(e))
             if parts == ["datasets"]:
                 if not body:
                     return self._fail(400, "empty", "The upload is empty")
@@ -138,19 +178,14 @@ def serve(store: Store, host: str = "127.0.0.1", port: int = 8000, uploads: str
     return ThreadingHTTPServer((host, port), Handler)
 
 
-def main() -> None:
-    import argparse
-
+def main(arguments: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
-    p = argparse.ArgumentParser(description="Serve data sets and queries over HTTP")
-    p.add_argument("--root", required=True, help="folder of the data sets, shared by all executors")
-    p.add_argument("--uploads")
-    p.add_argument("--host", default="127.0.0.1")
-    p.add_argument("--port", type=int, default=8000)
-    a = p.parse_args()
+    from ledgerlight.settings import provider_of, settings
+
+    s = settings(arguments)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR").getOrCreate()
-    serve(Store(spark, a.root), a.host, a.port, a.uploads).serve_forever()
+    serve(Store(spark, s.root), s.host, s.port, s.uploads, provider_of(s), s.max_upload, s.min_free).serve_forever()
 
 
 if __name__ == "__main__":

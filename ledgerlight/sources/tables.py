@@ -32,6 +32,11 @@ def state(spark: SparkSession, folder: str, *names: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether Spark runs in this process alone, so that its own disk is one that all executors share."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
@@ -40,7 +45,7 @@ def scratch(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        if not local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
         spark.conf.set("spark.checkpoint.dir", named)

@@ -174,6 +174,63 @@ def test_http(spark, tmp_path):
     server.shutdown()
 
 
+def test_uploads_in_parts_and_without_room(spark, tmp_path):
+    from ledgerlight.service.http import BadUpload, uploaded
+
+    parts = b'--x\r\nContent-Disposition: form-data; name="note"\r\n\r\nhi\r\n--x\r\nContent-Disposition: form-data; name="f"; filename="a.csv"\r\n\r\na,b\r\n1,2\r\n--x--\r\n'
+    assert uploaded("multipart/form-data; boundary=x", parts) == b"a,b\r\n1,2" and uploaded("text/csv", b"a,b") == b"a,b"
+    for kind, body, why in (("text/csv", parts, "looks_like_multipart"), ("multipart/form-data; boundary=x", b'--x\r\nContent-Disposition: form-data; name="note"\r\n\r\nhi\r\n--x--', "no_file_part")):
+        with pytest.raises(BadUpload) as e:
+            uploaded(kind, body)
+        assert e.value.kind == why
+    for limits, code in (({"min_free": 1 << 60}, 507), ({"max_upload": 3}, 413)):
+        server = serve(Store(spark, f"file://{tmp_path}/store"), port=0, uploads=str(tmp_path), **limits)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        with pytest.raises(urllib.error.HTTPError) as refused:
+            urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}/datasets", b"a,b\n1,2\n"))
+        assert refused.value.code == code
+        server.shutdown()
+
+
+def test_settings(tmp_path):
+    from ledgerlight.plans.propose import Missing
+    from ledgerlight.settings import provider_of, settings
+
+    s = settings(["serve", "--root", "r", "--port", "9"], {"LEDGERLIGHT_PORT": "7", "LEDGERLIGHT_HOST": "h", "LEDGERLIGHT_RECORD": "true", "LEDGERLIGHT_MIN_FREE": "5"})
+    assert (s.root, s.port, s.host, s.record, s.min_free, s.provider) == ("r", 9, "h", True, 5, "replay")
+    with pytest.raises(SystemExit):
+        settings([], {})
+    with pytest.raises(ValueError):
+        settings(["--root", "r"], {"LEDGERLIGHT_RECORD": "perhaps"})
+    for record in (False, True):
+        live = provider_of(settings(["--root", "r", "--provider", "json:dumps", "--answers", str(tmp_path), *(["--record"] if record else [])], {}))
+        assert live({"a": 1}) == '{"a": 1}'
+        replay = provider_of(settings(["--root", "r", "--replay", "--answers", str(tmp_path)], {}))
+        if record:
+            assert replay({"a": 1}) == '{"a": 1}'
+        else:
+            with pytest.raises(Missing):
+                replay({"a": 1})
+
+
+def test_models_of_earlier_formats_are_derived_again(spark, tmp_path):
+    """Fields that are lacking come from the rows; declared roles stay, also where the heuristic would say something else."""
+    from ledgerlight.plans.model import Claim
+
+    df = files.load(spark, write(tmp_path, orders().encode()))
+    store = Store(spark, f"file://{tmp_path}/old")
+    kept = store.put("a", df, [Claim("item", "entity_key", "product"), Claim("sold_on", "event_time"), Claim("units", "additive_quantity"), Claim("price", "monetary_rate")])
+    at = tmp_path / "old" / "a" / "v=1" / "model.json"
+    raw = json.loads(at.read_text())
+    for f in ("latest", "claims", "coverage", "values"):
+        raw.pop(f)
+    (tmp_path / "old" / "a" / "v=1" / ".model.json.crc").unlink(missing_ok=True)
+    at.write_text(json.dumps(raw | {"version": 3}))
+    again = store.get("a").model
+    assert {(b.column, b.role, b.entity) for b in again.bindings} == {(b.column, b.role, b.entity) for b in kept.model.bindings} and again.entity("product") == "item"
+    assert again.latest == kept.model.latest and again.values == kept.model.values and not Store(spark, store.root).get("a").model.lacking
+
+
 def test_samples(spark, tmp_path):
     from ledgerlight.plans.build import build
     from ledgerlight.sources import samples

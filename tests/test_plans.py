@@ -155,3 +155,49 @@ def test_no_test_column_is_known_to_the_engine():
 def test_text_times(spark):
     df = spark.createDataFrame([("03/13/2011 10:00",), ("1/2/11",), ("x",), (None,)], "d string")
     assert [str(r.t) for r in df.select(periods.parsed(df.d, "month_first").alias("t")).collect()] == ["2011-03-13 10:00:00", "2011-01-02 00:00:00", "None", "None"]
+
+
+def test_demonstration(spark):
+    from ledgerlight.evaluation.__main__ import run
+
+    report, known = run(spark)
+    assert not report.wrong and not known and report.false_answer_rate == 0.0 and sum(report.matrix.values()) == 5
+
+
+def test_what_is_told_must_be_done(shop, model, monkeypatch):
+    from ledgerlight.plans import execute
+
+    q = Query.of({"measures": ["net_revenue"], "group_by": ["sku"]})
+    assert isinstance(ask(shop, model, q), Answer)
+    monkeypatch.setattr(execute, "predicates", lambda *x: [])
+    with pytest.raises(execute.ClaimError, match="partition"):
+        ask(shop, model, q)
+    with pytest.raises(execute.ClaimError, match="window"):
+        ask(shop, model, Query.of({"measures": ["units_sold"], "time": {"named_period": "2024-01"}}))
+
+
+def test_answers_are_paged(shop, model, monkeypatch):
+    from ledgerlight.plans import execute
+
+    monkeypatch.setattr(execute, "PAGE", 2)
+    out = ask(shop, model, Query.of({"measures": ["units_sold"], "group_by": ["kind"]}))
+    assert len(out.rows) == 2 and any(c.kind == "page" for c in out.caveats) and out.frame.count() == 5
+
+
+def test_poor_bases_are_named(spark):
+    rows = [(g, f"2024-0{m}-03", float(v)) for g, a, b in (("big", 900, 1000), ("tiny", 1, 50), ("debt", -20, 5), ("gone", 40, None), ("new", None, 7)) for m, v in ((1, a), (2, b)) if v is not None]
+    df = spark.createDataFrame(rows, "shop string, day string, amount double").selectExpr("shop", "cast(day as timestamp_ntz) day", "amount")
+    m = build(df, claims=[Claim("shop", "dimension"), Claim("day", "event_time"), Claim("amount", "monetary_amount")])
+    out = ask(df, m, Query.of({"measures": ["net_revenue"], "group_by": ["shop"], "period_comparison": {"grain": "month", "period_a": "2024-01", "period_b": "2024-02"}}))
+    told = {c.text for c in out.caveats if c.kind == "base"}
+    assert any("debt -20.00" in t and t.startswith("1 groups have a non-positive base in 2024-01") for t in told) and any("tiny 1.00 (0.114% of 2024-01)" in t for t in told) and len(told) == 2
+    assert any(c.kind == "as_reported" for c in out.assumptions)
+
+
+def test_determinants_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "GROUPS", 10)
+    df = spark.range(90).selectExpr("id div 2 inv", "id div 4 day", "id % 3 kind", "id % 5 other")
+    with_limit = {(d.determinant, d.dependent) for d in profiles.profile(df).dependencies}
+    assert ("inv", "day") in with_limit
+    monkeypatch.setattr(profiles, "GROUPS", 1000)
+    assert {(d.determinant, d.dependent) for d in profiles.profile(df).dependencies} == with_limit
