@@ -37,7 +37,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     # all loads there are arrive as one delta, in which each has counts of its own; medians are taken of decimal columns
     counts.add(lines.withColumn("quantity", F.col("quantity").cast("double")), [c for c in lines.columns if c not in LOAD_COLUMNS], "arrived")
     profiles = quality.profile(counts.tables(), ["dataset_id"], FORMATS, f"{counts.folder}/ranges")
-    feeds = lines.groupBy("dataset_id").agg(F.max("feed_id").alias("feed_id"))
+    # a load belongs to one feed; should it name several, the last of them counts
+    feeds = lines.select("dataset_id", "feed_id").distinct().groupBy("dataset_id").agg(F.max("feed_id").alias("feed_id"))
     profiles.join(feeds, "dataset_id").write.parquet(f"{counts.folder}/profiles")
     written = spark.read.parquet(f"{counts.folder}/profiles")
     return quality.departures(written, "feed_id", "dataset_id", SIGNED, MEASURED, VARIED, FORMATS, stated=table(spark, folder, "column_profiles"))
