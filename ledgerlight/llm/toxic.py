@@ -113,13 +113,22 @@ def _undone(text: str | _Traced) -> str | _Traced:
 
 def words(text: str) -> list[list[str]]:
     """Sentences of a text as lists of words, disguises undone; digits become `9`."""
-    return [[w for w, _, _ in s] for s in placed(_undone(text))]
+    out: list[list[str]] = [[]]
+    for t in _TOKEN.findall(_undone(text)):
+        if t in _END:
+            if out[-1]:
+                out.append([])
+        elif len(out[-1]) >= SENTENCE:
+            out.append(["9" if t.isdigit() else t])
+        else:
+            out[-1].append("9" if t.isdigit() else t)
+    return out if out[-1] else out[:-1]
 
 
-def placed(text: str | _Traced) -> list[list[tuple[str, int, int]]]:
-    """The same with the places of each word in the original (of a text that isn't traced, in itself)."""
+def placed(text: _Traced) -> list[list[tuple[str, int, int]]]:
+    """The same of a traced text, with the places of each word in the original."""
     out: list[list[tuple[str, int, int]]] = [[]]
-    for m in _TOKEN.finditer(_plain(text)):
+    for m in _TOKEN.finditer(text.text):
         t = m[0]
         if t in _END:
             if out[-1]:
@@ -127,10 +136,8 @@ def placed(text: str | _Traced) -> list[list[tuple[str, int, int]]]:
             continue
         if len(out[-1]) >= SENTENCE:
             out.append([])
-        a, b = m.span()
-        if not isinstance(text, str):
-            a, b = min(x for x, _ in text.spans[a:b]), max(x for _, x in text.spans[a:b])
-        out[-1].append(("9" if t.isdigit() else t, a, b))
+        spans = text.spans[m.start() : m.end()]
+        out[-1].append(("9" if t.isdigit() else t, min(a for a, _ in spans), max(b for _, b in spans)))
     return out if out[-1] else out[:-1]
 
 
