@@ -300,7 +300,7 @@ def _batches(sentences: list[np.ndarray], size: int = 1024) -> Iterator[tuple[np
 
 def _features(ids: np.ndarray) -> np.ndarray:
     """Places of the weights of each word: itself, its neighbours, and the pairs among them."""
-    wide = np.full((ids.shape[0], ids.shape[1] + 4), -2, np.int64)
+    wide = np.full((ids.shape[0], ids.shape[1] + 4), -1, np.int64)  # as behind shorter sentences of a batch
     wide[:, 2:-2] = ids
     a, b, c, d, e = (wide[:, k : k + ids.shape[1]] for k in range(5))
     parts = [c, b, d, (b, c), (c, d), (a, b), (d, e), (b, d)]

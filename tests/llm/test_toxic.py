@@ -134,6 +134,13 @@ def test_saved_once(spark, field, tmp_path):
     first = toxic.saved(spark, path, lambda: made.append(1) or field)
     again = toxic.saved(spark, path, lambda: made.append(1) or field)
     text = ["You are a worthless clown and everyone here knows it.", "the {} shelf"]
-    assert len(made) == 1 and first is field and np.array_equal(again.scores(text), field.scores(text)) and again.vocabulary == field.vocabulary
+    assert len(made) == 1 and first is field and np.allclose(again.scores(text), field.scores(text), atol=1e-6) and again.vocabulary == field.vocabulary
     empty = toxic.saved(spark, f"file://{tmp_path}/none.npz", lambda: toxic.fit([]))
     assert toxic.saved(spark, f"file://{tmp_path}/none.npz", lambda: None).vocabulary == empty.vocabulary == {}
+
+
+def test_a_sentence_scores_alike_in_any_batch(field):
+    text = "You are a worthless clown and everyone here knows it."
+    alone = toxic._unpacked(toxic._packed(field)).scores([text])
+    among = toxic._unpacked(toxic._packed(field)).scores([text, "we looked at a cold kettle and a tidy tray and the old shelf needs no screws and no patience at all"])
+    assert np.allclose(alone[0], among[0], atol=1e-6)
