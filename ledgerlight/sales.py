@@ -14,6 +14,7 @@ from ledgerlight.plans import execute
 from ledgerlight.plans.binder import bind
 from ledgerlight.plans.build import build
 from ledgerlight.plans.model import Claim, Model
+from ledgerlight.plans.propose import evidence
 from ledgerlight.plans.query import Query
 from ledgerlight.sources.tables import state, table
 
@@ -265,6 +266,22 @@ def q43_window_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return execute.window_facts(*_bound(spark, folder, {"measures": ["net_revenue"], "time": {"last_n": 10, "grain": "year"}}))
 
 
+def q50_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What a provider of roles gets to see of a profile: types, rates, and which columns determine which."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"), periods.label(F.col("o_orderdate"), "quarter").alias("quarter"), "o_orderpriority")
+    seen = evidence(profiles.profile(orders))
+    rows = [(c, e["type"], e["null_rate"], e["distinct"], e["uniqueness"], e["top"][0][0], ",".join(e["samples"]), ",".join(e["determines"])) for c, e in seen.items()]
+    return spark.createDataFrame(rows, "column_name string, type string, null_rate double, distinct_count long, uniqueness double, most string, samples string, determines string")
+
+
+def q51_discovered(spark: SparkSession, folder: str) -> DataFrame:
+    """The conventions that the sales show: returns, facts among lines, periods and their completeness, names of keys."""
+    m = model_of(spark, folder)
+    rows = [("returns", m.returns.kind, m.returns.column, ",".join(m.returns.values)), ("partition", m.partition.column, m.partition.flag, m.partition.fact_value), ("completeness", m.completeness.flag, m.completeness.period, None)]
+    rows += [("period", c, None, None) for c in m.period_columns] + [("label", x.label, x.entity, None) for x in m.labels]
+    return spark.createDataFrame(rows, "what string, first string, second string, value string")
+
+
 #: One query for each way a verdict comes about, in the order of the checks, with its outcome.
 MATRIX: list[tuple[str, dict, str]] = [
     ("concept", {"unmet_concepts": ["profit"]}, "refuse"), ("dimension", {"measures": ["net_revenue"], "unmet_dimensions": ["colour"]}, "clarify"), ("nothing", {}, "refuse"),
@@ -288,7 +305,7 @@ def _per_column(columns: list[str], body: str, source: str) -> str:
 
 
 _O = "o AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders)"
-for _f in (q31_profile_basic, q32_profile_numeric, q33_top_values, q34_samples, q35_functional_dependencies, q36_stored_amount_identity, q37_key_shares_time, q38_returns_category, q39_partition_values, q40_coverage, q41_non_fact_disclosure, q42_growth_base_anomalies, q43_window_disclosure, q44_verdict_matrix):
+for _f in (q31_profile_basic, q32_profile_numeric, q33_top_values, q34_samples, q35_functional_dependencies, q36_stored_amount_identity, q37_key_shares_time, q38_returns_category, q39_partition_values, q40_coverage, q41_non_fact_disclosure, q42_growth_base_anomalies, q43_window_disclosure, q44_verdict_matrix, q50_evidence, q51_discovered):
     QUERIES[_f.__name__] = _f
 SQL |= {
     "q31_profile_basic": _per_column(_ORDER_COLUMNS, "SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT({c}) AS non_null, CAST(MIN({c}) AS VARCHAR) AS min_value, CAST(MAX({c}) AS VARCHAR) AS max_value, COUNT(DISTINCT {c}) AS distinct_count FROM o", _O),
@@ -306,3 +323,43 @@ SQL |= {
     "q43_window_disclosure": _sql("SELECT CAST(MIN(order_date) AS DATE) AS first_day, CAST(MAX(order_date) AS DATE) AS last_day, CAST(MAX(order_date) - INTERVAL '10 years' AS DATE) AS window_start, CAST(MAX(order_date) - INTERVAL '10 years' AS DATE) <= CAST(MIN(order_date) AS DATE) AS whole FROM sales"),
     "q44_verdict_matrix": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{v}')" for c, _, v in MATRIX) + ") AS t(case_name, verdict)",
 }
+
+
+def _strength(determinant: str, dependent: str, source: str) -> str:
+    """SQL of the share of a determinant's repeated values that have one value of the dependent."""
+    return f"(SELECT AVG(CASE WHEN k <= 1 THEN 1.0 ELSE 0.0 END) FROM (SELECT COUNT(DISTINCT {dependent}) AS k FROM {source} WHERE {determinant} IS NOT NULL GROUP BY {determinant} HAVING COUNT(*) > 1) HAVING COUNT(*) >= 5)"
+
+
+_SEEN = {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_orderdate": "date", "quarter": "text", "o_orderpriority": "text"}
+
+
+def _evidence_sql() -> str:
+    parts = []
+    for c, kind in _SEEN.items():
+        pairs = " UNION ALL ".join(f"SELECT '{d}' AS d WHERE {_strength(c, d, 'o')} >= 0.95" for d in _SEEN if d != c)
+        parts.append(
+            f"SELECT '{c}' AS column_name, '{kind}' AS type, ROUND(1 - COUNT({c}) / COUNT(*), 6) AS null_rate, COUNT(DISTINCT {c}) AS distinct_count, ROUND(COUNT(DISTINCT {c}) / COUNT({c}), 6) AS uniqueness,"
+            f" (SELECT CAST({c} AS VARCHAR) FROM o WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS most,"
+            f" (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM o WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS samples,"
+            f" CASE WHEN COUNT(DISTINCT {c}) >= 2 AND COUNT(DISTINCT {c}) < 0.99 * COUNT({c}) THEN COALESCE((SELECT string_agg(d, ',' ORDER BY d) FROM ({pairs})), '') ELSE '' END AS determines FROM o"
+        )
+    return "WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, o_orderpriority FROM orders) " + " UNION ALL ".join(parts)
+
+
+def _discovered_sql() -> str:
+    dimensions, flags = [c.column for c in CLAIMS if c.role == "dimension"], [c.column for c in CLAIMS if c.role == "flag"]
+    kinds = " UNION ALL ".join(f"SELECT {k} AS place, '{c}' AS c, CAST({c} AS VARCHAR) AS value FROM sales WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) >= 5 AND COUNT(*) FILTER (WHERE qty < 0) >= 0.9 * COUNT(*)" for k, c in enumerate([*dimensions, *flags]))
+    aligned = " UNION ALL ".join(f"SELECT {k} AS place, '{f}' AS f FROM sales HAVING AVG(CASE WHEN ({f} = 1) = (qty < 0) THEN 1.0 ELSE 0.0 END) >= 0.99" for k, f in enumerate(flags))
+    period = " UNION ALL ".join(f"SELECT '{d}' AS d WHERE {_strength('order_date', d, 'sales')} >= 0.99" for d in dimensions)
+    split = " UNION ALL ".join(f"SELECT '{d}' AS d, '{f}' AS f, (SELECT MIN({d}) FROM sales WHERE {f} = 1) AS value WHERE {_strength(d, f, 'sales')} >= 0.99 AND (SELECT COUNT(DISTINCT {d}) FROM sales WHERE {f} = 1) = 1 AND (SELECT COUNT(DISTINCT {d}) FROM sales) > 1" for d in dimensions for f in flags)
+    whole = " UNION ALL ".join(f"SELECT {k} AS place, '{f}' AS f, '{d}' AS d WHERE {_strength(d, f, 'sales')} >= 0.99 AND (SELECT COUNT(DISTINCT {f}) FROM sales) > 1" for k, f in enumerate(flags) for d in dimensions)
+    return _sql(
+        "SELECT 'returns' AS what, CASE WHEN (SELECT COUNT(*) FROM aligned) > 0 THEN 'explicit_flag' ELSE 'explicit_category' END AS first, COALESCE((SELECT MIN_BY(f, place) FROM aligned), MIN_BY(c, place)) AS second, string_agg(value, ',' ORDER BY value) AS value FROM kinds WHERE place = (SELECT MIN(place) FROM kinds)"
+        " UNION ALL SELECT 'partition', MIN_BY(d, d), MIN(f), MIN(value) FROM split WHERE d NOT IN (SELECT d FROM period) HAVING COUNT(*) > 0"
+        " UNION ALL SELECT 'completeness', MIN_BY(f, place), MIN_BY(d, place), NULL FROM whole WHERE d IN (SELECT d FROM period) HAVING COUNT(*) > 0"
+        f" UNION ALL SELECT 'period', d, NULL, NULL FROM period UNION ALL SELECT 'label', 'part_label', k, NULL FROM (SELECT 'part_id' AS k WHERE GREATEST({_strength('part_label', 'part_id', 'sales')}, {_strength('part_id', 'part_label', 'sales')}) >= 0.95 UNION ALL SELECT 'customer_id' WHERE GREATEST({_strength('part_label', 'customer_id', 'sales')}, {_strength('customer_id', 'part_label', 'sales')}) >= 0.95)",
+        f"kinds AS ({kinds}), aligned AS ({aligned}), period AS ({period}), split AS ({split}), whole AS ({whole})",
+    )
+
+
+SQL |= {"q50_evidence": _evidence_sql(), "q51_discovered": _discovered_sql()}
