@@ -115,6 +115,8 @@ class ValueCounts:
                 fs.delete(path(p), True)
 
 
+#: Where no column of a load has more different values, its values are sorted for the median; else they are counted by range first.
+SORTED = 1_000_000
 #: Ranges of a doubling of a number, by which a column's values are counted first for their median.
 _RANGES = 16
 #: Rows up to which the ranges that hold a middle value (about 60 bytes each) are broadcast; beyond it they are joined by shuffle.
@@ -126,17 +128,11 @@ def _range_of(value: Column) -> Column:
     return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.rint(F.log2(F.abs(value)) * _RANGES) + 1100 * _RANGES))
 
 
-def _ranked(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
-    """`key`, median: from counts (value, n, range) and the written sums (range, n) of each range, in few tasks' reach of each key."""
-    w = Window.partitionBy(*key)
-    sums = ranges.filter("range is not null").withColumn("so_far", F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    # the lower middle value is the first whose count so far reaches half, the upper the first that exceeds it
-    middle = sums.filter("2 * so_far >= all and 2 * (so_far - n) <= all").select(*key, "range", (F.col("so_far") - F.col("n")).alias("before"), "all")
-    near = rows.join(F.broadcast(middle) if ranges.select(*key).distinct().count() <= BROADCAST_RANGES // 2 else middle, [*key, "range"])
-    so_far = F.col("before") + F.sum("n").over(Window.partitionBy(*key, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = near.withColumn("so_far", so_far)
-    ends = [F.min(F.when(c, F.col("value"))) for c in (2 * F.col("so_far") >= F.col("all"), 2 * F.col("so_far") > F.col("all"))]
-    return ranked.groupBy(*key).agg(((ends[0] + ends[1]) / 2).alias("median"))
+def _middle(there: Column | None = None) -> Column:
+    """The median, from `so_far`, the count up to each value, and `all`: the lower middle value is the first whose count reaches half, the upper the first that exceeds it."""
+    reached, exceeded = 2 * F.col("so_far") >= F.col("all"), 2 * F.col("so_far") > F.col("all")
+    ends = [F.min(F.when(c if there is None else there & c, F.col("value"))) for c in (reached, exceeded)]
+    return (ends[0] + ends[1]) / 2
 
 
 def medians(table: DataFrame, key: list[str], folder: str) -> DataFrame:
@@ -145,9 +141,18 @@ def medians(table: DataFrame, key: list[str], folder: str) -> DataFrame:
     Values are counted by range first. In which ranges the two middle values lie follows from these counts, which are
     written to `folder`, a new one; only values of those ranges are ranked.
     """
+    spark = table.sparkSession
     rows = table.filter("value is not null and n > 0").select(*key, F.col("value").cast("double").alias("value"), "n").withColumn("range", _range_of(F.col("value")))
-    rows.groupBy(*key, "range").agg(F.sum("n").alias("n")).write.parquet(folder)
-    return _ranked(rows, table.sparkSession.read.parquet(folder), key)
+    w = Window.partitionBy(*key)
+    counts = rows.groupBy(*key, "range").agg(F.sum("n").alias("n"))
+    sums = counts.withColumn("so_far", F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    # the lower middle value is the first whose count so far reaches half, the upper the first that exceeds it
+    middle = sums.filter("2 * so_far >= all and 2 * (so_far - n) <= all").select(*key, "range", (F.col("so_far") - F.col("n")).alias("before"), "all")
+    middle.write.parquet(folder)
+    middle = spark.read.parquet(folder)
+    near = rows.join(F.broadcast(middle) if middle.count() <= BROADCAST_RANGES else middle, [*key, "range"])
+    so_far = F.col("before") + F.sum("n").over(Window.partitionBy(*key, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("so_far", so_far).groupBy(*key).agg(_middle().alias("median"))
 
 
 def profile(tables: dict[str, DataFrame], keys: list[str], formats: dict[str, str] | None = None, folder: str | None = None) -> DataFrame:
@@ -157,40 +162,48 @@ def profile(tables: dict[str, DataFrame], keys: list[str], formats: dict[str, st
     max_text, min_number, max_number (of decimal columns), min_whole, max_whole (of integer columns), min_moment,
     max_moment, negatives, zeros, positives, integer_ratio (null for text and moments), entropy (bits, of the non-null
     values), violations (values, by number of lines, that don't match the column's pattern in `formats`), and the exact
-    median of decimal columns where `folder` names a new folder for the ranges it is found by. A column without a
-    non-null value has null ranges and entropy 0.
+    median of decimal columns where `folder` names a new folder for the ranges by which it is found in columns of
+    more than SORTED values. A column without a non-null value has null ranges and entropy 0.
     """
     out, key = [], [*keys, "column_name"]
     for kind, table in tables.items():
-        v, n, number = F.col("value"), F.col("n"), kind in ("integer", "decimal")
-        there, broken = v.isNotNull(), F.lit(False)
-        for column, pattern in (formats or {}).items():
-            if kind == "text":
-                broken = F.when(F.col("column_name") == column, there & ~v.rlike(rf"\A(?:{pattern})\z")).otherwise(broken)
+        there, n, number = F.col("value").isNotNull(), F.col("n"), kind in ("integer", "decimal")
+
+        def count(condition: Column, n: Column = n) -> Column:
+            return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+        def signed(condition: Column, number: bool = number, count=count) -> Column:
+            return count(condition) if number else F.lit(None).cast("long")
 
         def only(wanted: str, names: str, kind: str = kind) -> list[Column]:
             return [(f("value") if kind == wanted else F.lit(None)).cast(KINDS[wanted]).alias(f"{end}_{names}") for f, end in ((F.min, "min"), (F.max, "max"))]
 
-        counts = {"full": there, "negatives": v.cast("double") < 0, "zeros": v == 0, "positives": v.cast("double") > 0, "whole": v == F.floor(v), "violations": broken} if number else {"full": there, "violations": broken}
-        sums = [F.sum("n").alias("row_count"), F.count("value").alias("distinct_count"), F.sum(F.when(there, n * F.log2(n))).alias("weighted"), *[F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(k) for k, c in counts.items()]]
-        ends = [*only("text", "text"), *only("decimal", "number"), *only("integer", "whole"), *only("moment", "moment")]
-        middle = None
+        v, broken = F.col("value"), F.lit(False)
+        for column, pattern in (formats or {}).items():
+            if kind == "text":
+                broken = F.when(F.col("column_name") == column, there & ~v.rlike(rf"\A(?:{pattern})\z")).otherwise(broken)
+        rows, full = F.sum("n"), count(there)
+        middle, split = F.lit(None).cast("double"), False
         if folder and kind == "decimal":
-            # the ranges' sums, from which those of the columns follow as well as where the middle values are
-            rows = table.withColumn("range", F.when(there, _range_of(v)))
-            rows.groupBy(*key, "range").agg(*sums, *ends).write.parquet(folder)
-            table = table.sparkSession.read.parquet(folder)
-            middle = _ranked(rows.filter(there), table.withColumn("n", F.col("row_count")), key)
-            sums = [F.sum(c).alias(c) for c in ("row_count", "distinct_count", "weighted", *counts)]
-            ends = [(F.min if c.startswith("min") else F.max)(c).alias(c) for c in table.columns if c.startswith(("min_", "max_"))]
-        p = table.groupBy(*key).agg(*sums, *ends)
-        if not number:
-            p = p.withColumns({c: F.lit(None).cast("long") for c in ("negatives", "zeros", "positives", "whole")})
-        out.append(p.join(middle, key, "left") if middle is not None else p.withColumn("median", F.lit(None).cast("double")))
-    full = F.col("full")
-    return reduce(DataFrame.unionByName, out).select(
-        *key, "row_count", (F.col("row_count") - full).alias("null_count"), ((F.col("row_count") - full) / F.col("row_count")).alias("null_rate"), "distinct_count", (F.col("distinct_count") / F.nullif(full, F.lit(0))).alias("uniqueness_ratio"),
-        "min_text", "max_text", "min_number", "max_number", "min_whole", "max_whole", "min_moment", "max_moment", "negatives", "zeros", "positives", (F.col("whole") / F.nullif(full, F.lit(0))).alias("integer_ratio"),
+            split = (table.groupBy(*key).agg(F.count(F.lit(1)).alias("values")).agg(F.max("values")).collect()[0][0] or 0) > SORTED
+            if not split:  # the same shuffle serves for the sums
+                w = Window.partitionBy(*key)
+                weight = F.when(there, n).otherwise(0)
+                so_far = F.sum(weight).over(w.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+                table = table.withColumn("so_far", so_far).withColumn("all", F.sum(weight).over(w))
+                middle = _middle(there)
+        p = table.groupBy(*key).agg(
+            rows.alias("row_count"), (rows - full).alias("null_count"), F.count("value").alias("distinct_count"), *only("text", "text"), *only("decimal", "number"), *only("integer", "whole"), *only("moment", "moment"),
+            *[signed((v.cast("double") < 0) if number else F.lit(False)).alias("negatives"), signed((v == 0) if number else F.lit(False)).alias("zeros"), signed((v.cast("double") > 0) if number else F.lit(False)).alias("positives")],
+            (signed(v == F.floor(v)) / F.nullif(full, F.lit(0)) if number else F.lit(None).cast("double")).alias("integer_ratio"),
+            F.sum(F.when(there, n * F.log2(n))).alias("weighted"), count(broken).alias("violations"), middle.alias("median"),
+        )
+        out.append(p.drop("median").join(medians(table, key, folder), key, "left") if split else p)
+    whole = reduce(DataFrame.unionByName, out)
+    full = F.col("row_count") - F.col("null_count")
+    return whole.select(
+        *key, "row_count", "null_count", (F.col("null_count") / F.col("row_count")).alias("null_rate"), "distinct_count", (F.col("distinct_count") / F.nullif(full, F.lit(0))).alias("uniqueness_ratio"),
+        "min_text", "max_text", "min_number", "max_number", "min_whole", "max_whole", "min_moment", "max_moment", "negatives", "zeros", "positives", "integer_ratio",
         F.when(full > 0, F.greatest(F.log2(full) - F.col("weighted") / full, F.lit(0.0))).otherwise(0.0).alias("entropy"), "violations", "median",
     )
 

@@ -88,6 +88,14 @@ def test_medians(spark, tmp_path, monkeypatch):
         assert got == {g: median(v) for g, v in groups.items() if g != "nan"}
 
 
+def test_either_way_to_the_median(spark, lines, tmp_path, monkeypatch):
+    counts = quality.counted(lines, ["load"], ["amount"])
+    sorted_ = quality.profile(counts, ["load"], folder=f"file://{tmp_path}/a").orderBy("load").collect()
+    assert not (tmp_path / "a").exists()
+    monkeypatch.setattr(quality, "SORTED", 2)
+    assert quality.profile(counts, ["load"], folder=f"file://{tmp_path}/b").orderBy("load").collect() == sorted_ and (tmp_path / "b").exists() and all(r.median is not None for r in sorted_)
+
+
 def test_whole_numbers_are_compared_as_such(spark):
     df = spark.createDataFrame([("d", 2**53), ("d", 2**53 + 1)], "load string, n long")
     p = quality.profile(quality.counted(df, ["load"], ["n"]), ["load"])
