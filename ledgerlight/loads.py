@@ -26,6 +26,13 @@ def p3_typed(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.valued(rejects.load(table(spark, folder, "raw_records"), dialects), dialects)
 
 
+def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """What the typed columns of each file's valid records hold."""
+    each = p3_typed(spark, folder).select("dataset_id", F.inline("values"))
+    total = F.sum(F.col("fraction").cast("decimal(38,6)")).cast("double")
+    return each.groupBy("dataset_id", "column_name", "kind").agg(F.count("text").alias("present"), F.sum("number").alias("whole"), total.alias("fractions"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
 def _counts(spark: SparkSession, keys: list[str]) -> quality.ValueCounts:
     """New value-count tables in the shared folder."""
     return quality.ValueCounts(spark, f"{scratch(spark)}/counts-{uuid.uuid4().hex}", keys)
@@ -55,7 +62,7 @@ def p4_withdrawn(spark: SparkSession, folder: str) -> DataFrame:
     return quality.profile(counts.tables(), ["feed_id"]).select("feed_id", "column_name", "row_count", "null_count", "distinct_count", F.round("entropy", 6).alias("entropy"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p4_found": p4_found, "p4_withdrawn": p4_withdrawn}
+QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p3_columns": p3_columns, "p4_found": p4_found, "p4_withdrawn": p4_withdrawn}
 
 _TEXT = "invoice_no invoice_type invoice_quarter invoice_month stock_code description line_type country operator_note".split()
 _NUMBERS = "invoice_year invoice_dow invoice_hour is_complete_quarter is_product_line is_revenue_line quantity unit_price line_revenue is_return customer_id is_identified_customer is_country_known has_negative_price is_extreme_quantity".split()
@@ -77,23 +84,34 @@ def _in(names: list[str]) -> str:
     return "a.column_name IN (" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-SQL = {
-    "p3_found": r"""
-WITH r AS (SELECT record_id, raw_line, delimiter AS d, quotechar AS q, column_types AS t,
+#: Records as their fields, with the first reason against them.
+_RECORDS = r"""
+WITH r AS (SELECT record_id, dataset_id, raw_line, delimiter AS d, quotechar AS q, column_types AS t, column_names AS names,
   '(?:' || q || '(?:[^' || q || ']|' || q || q || ')*' || q || '|[^' || q || '\' || d || '\r\n]*)' AS f
   FROM raw_records JOIN dialects USING (dataset_id)
   WHERE length(trim(raw_line, ' ')) > 0 AND NOT (has_header AND line_no = 1)),
-s AS (SELECT record_id, d, q, t, regexp_full_match(raw_line, '(?s)' || f || '(?:\' || d || f || ')*') AS sound,
+s AS (SELECT record_id, dataset_id, d, q, t, names, regexp_full_match(raw_line, '(?s)' || f || '(?:\' || d || f || ')*') AS sound,
   regexp_extract_all(d || raw_line, '\' || d || '(' || f || ')', 1) AS x FROM r),
-u AS (SELECT record_id, sound, t, list_transform(x, lambda y: trim(CASE WHEN starts_with(y, q) THEN replace(substr(y, 2, length(y) - 2), q || q, q) ELSE y END, ' ')) AS x FROM s),
-w AS (SELECT record_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(x) <> len(t) THEN 'column_count'
+v AS (SELECT record_id, dataset_id, sound, t, names, list_transform(x, lambda y: CASE WHEN starts_with(y, q) THEN replace(substr(y, 2, length(y) - 2), q || q, q) ELSE y END) AS fields FROM s),
+u AS (SELECT *, list_transform(fields, lambda y: trim(y, ' ')) AS x FROM v),
+w AS (SELECT record_id, dataset_id, t, names, fields, CASE WHEN NOT sound THEN 'quoting' WHEN len(x) <> len(t) THEN 'column_count'
   WHEN len(list_filter(range(1, len(t) + 1), lambda i: x[i] <> '' AND NOT CASE t[i]
     WHEN 'integer' THEN regexp_full_match(x[i], '[+-]?[0-9]+')
     WHEN 'decimal' THEN regexp_full_match(x[i], '[+-]?[0-9]+(\.[0-9]+)?')
     WHEN 'date_iso' THEN regexp_full_match(x[i], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_strptime(x[i], '%Y-%m-%d') IS NOT NULL
     WHEN 'date_dmy' THEN regexp_full_match(x[i], '[0-9]{2}/[0-9]{2}/[0-9]{4}') AND try_strptime(x[i], '%d/%m/%Y') IS NOT NULL
     ELSE true END)) > 0 THEN 'value' END AS reason FROM u)
-SELECT record_id, reason FROM w WHERE reason IS NOT NULL
+"""
+
+SQL = {
+    "p3_found": f"{_RECORDS} SELECT record_id, reason FROM w WHERE reason IS NOT NULL",
+    "p3_columns": f"""{_RECORDS},
+e AS (SELECT dataset_id, unnest(names) AS column_name, unnest(t) AS kind, unnest(fields) AS v FROM w WHERE reason IS NULL)
+SELECT dataset_id, column_name, kind, COUNT(*) FILTER (WHERE v <> '') AS present, CAST(SUM(CASE WHEN kind = 'integer' THEN TRY_CAST(trim(v, ' ') AS BIGINT) END) AS BIGINT) AS whole,
+ CAST(SUM(CASE WHEN kind = 'decimal' THEN TRY_CAST(trim(v, ' ') AS DECIMAL(38,6)) END) AS DOUBLE) AS fractions,
+ CAST(MIN(CASE kind WHEN 'date_iso' THEN try_strptime(trim(v, ' '), '%Y-%m-%d') WHEN 'date_dmy' THEN try_strptime(trim(v, ' '), '%d/%m/%Y') END) AS DATE) AS first_day,
+ CAST(MAX(CASE kind WHEN 'date_iso' THEN try_strptime(trim(v, ' '), '%Y-%m-%d') WHEN 'date_dmy' THEN try_strptime(trim(v, ' '), '%d/%m/%Y') END) AS DATE) AS last_day
+FROM e GROUP BY ALL
 """,
     "p4_withdrawn": " UNION ALL ".join(
         f"SELECT feed_id, '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS distinct_count, ROUND(COALESCE(ENTROPY({c}), 0), 6) AS entropy"
